@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
 from .decontaminate import op1_decontaminate
+from .simhash import op9_simhash
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES = {}
