@@ -1,10 +1,14 @@
 """The queries of this subpackage and their SQL."""
 
 from .decontaminate import op1_decontaminate
+from .mixing import op5_mix_sources
+from .sharding import op6_shard
 from .simhash import op9_simhash
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_shard": op6_shard,
     "op9_simhash": op9_simhash,
 }
 
