@@ -2,6 +2,7 @@
 
 from .decontaminate import op1_decontaminate
 from .mixing import op5_mix_sources
+from .quality import op7_quality
 from .sharding import op6_shard
 from .simhash import op9_simhash
 
@@ -9,6 +10,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op5_mix_sources": op5_mix_sources,
     "op6_shard": op6_shard,
+    "op7_quality": op7_quality,
     "op9_simhash": op9_simhash,
 }
 
