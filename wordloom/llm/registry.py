@@ -5,9 +5,11 @@ from .mixing import op5_mix_sources
 from .quality import op7_quality
 from .sharding import op6_shard
 from .simhash import op9_simhash
+from .substring import op3_substring_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_shard": op6_shard,
     "op7_quality": op7_quality,
