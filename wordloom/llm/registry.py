@@ -6,6 +6,7 @@ from .quality import op7_quality
 from .sharding import op6_shard
 from .simhash import op9_simhash
 from .substring import op3_substring_dedup
+from .suffix import op8_suffix_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_shard": op6_shard,
     "op7_quality": op7_quality,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
 }
 

@@ -109,16 +109,16 @@ def prefix(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretches(h: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: text number, start, windows, anchor and content hash of each stretch."""
+    """Of texts laid end to end: text number, start, windows, anchor, content hash and anchor's place of each stretch."""
     none = np.empty(0, np.int64)
     if len(h) < window:
-        return none, none, none, none, none
+        return (none,) * 6
     place, value = least(grams(h, gram), window - gram + 1)
     starts = np.arange(len(place))
     text = np.searchsorted(ends, starts, side="right")
     ok = np.flatnonzero(starts + window <= ends[text])
     if not len(ok):
-        return none, none, none, none, none
+        return (none,) * 6
     place, value, text = place[ok], value[ok], text[ok]
     first = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(ok) != 1) | (np.diff(text) != 0)]))
     count = np.diff(np.append(first, len(ok)))
@@ -126,7 +126,7 @@ def stretches(h: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[
     p, inverse = prefix(h)
     content = (p[s + count - 1 + window] - p[s]) * inverse[s] + (place[first] - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     begin = np.concatenate([[0], ends[:-1]])[text[first]]
-    return text[first], s - begin, count, value[first].view(np.int64), content.view(np.int64)
+    return text[first], s - begin, count, value[first].view(np.int64), content.view(np.int64), place[first] - s
 
 
 def _raw(text: str | None) -> bytes:
@@ -151,11 +151,11 @@ def _seed_rows(unit: str, window: int, gram: int):
                     at.append((i, n))
                     size += len(h)
                 if hs and (size >= CHUNK or k == len(todo) - 1):
-                    t, s, m, a, r = stretches(np.concatenate(hs), np.cumsum([len(x) for x in hs]), window, gram)
+                    t, s, m, a, r, o = stretches(np.concatenate(hs), np.cumsum([len(x) for x in hs]), window, gram)
                     row = np.array([x for x, _ in at])[t]
                     copies = np.array([x for _, x in at])[t]
                     pick = lambda v: pa.array(np.array(v, np.int64)[row])  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(r), pick(k1), pick(k2), pick(owner), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(copies.astype(np.int64))], names=["a", "r", "k1", "k2", "owner", "s", "m", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(r), pick(k1), pick(k2), pick(owner), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(o.astype(np.int32)), pa.array(copies.astype(np.int64))], names=["a", "r", "k1", "k2", "owner", "s", "m", "o", "c"])
                     hs, at, size = [], [], 0
 
     return run
@@ -165,13 +165,14 @@ def _contents(unit: str, window: int):
     def run(batches):
         units = UNITS[unit]()
         for batch in batches:
-            a, r, c, out = [], [], [], []
+            a, r, c, o, out = [], [], [], [], []
             for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 out += units.cut(_raw(text), [(x["s"], x["s"] + x["m"] - 1 + window) for x in runs])
                 a += [x["a"] for x in runs]
                 r += [x["r"] for x in runs]
                 c += [x["c"] for x in runs]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64()), pa.array(c, pa.int64()), pa.array(out, pa.binary())], names=["a", "r", "c", "content"])
+                o += [x["o"] for x in runs]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64()), pa.array(c, pa.int64()), pa.array(out, pa.binary()), pa.array(o, pa.int32())], names=["a", "r", "c", "content", "o"])
 
     return run
 
@@ -249,22 +250,25 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(doc_id).alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("k1"), F.hash(t).cast("long").alias("k2"), F.coalesce(F.xxhash64(F.col(doc_id)), F.lit(0)).alias("owner"))
 
 
-def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, most: int = MOST) -> DataFrame:
-    """(k1, k2, spans): of texts of keyed() docs, the starts [b, e) of windows that occur elsewhere too."""
-    seeds = docs.select("k1", "k2", "owner", "text").mapInArrow(_seed_rows(unit, window, gram), "a long, r long, k1 long, k2 long, owner long, s int, m int, c long")
+def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, compare=None, most: int = MOST) -> DataFrame:
+    """(k1, k2, spans): of texts of keyed() docs, the starts [b, e) of windows that occur elsewhere too.
+
+    compare, if given, takes the place of the comparison of an anchor's stretches by window hashes.
+    """
+    seeds = docs.select("k1", "k2", "owner", "text").mapInArrow(_seed_rows(unit, window, gram), "a long, r long, k1 long, k2 long, owner long, s int, m int, o int, c long")
     seeds = common.materialize(seeds, "seeds")
     anchors = seeds.groupBy("a").agg(F.sum("c").alias("n"), (F.min("r") != F.max("r")).alias("mixed")).where("n > 1").select("a", "mixed")
     rows = common.materialize(seeds.join(anchors, "a"), "repeated")
     whole = rows.where("not mixed").select("k1", "k2", F.col("s").alias("b"), (F.col("s") + F.col("m")).alias("e"))
-    different = rows.where("mixed").groupBy("a", "r").agg(F.sum("c").alias("c"), F.min(F.struct("k1", "k2", "owner", "s", "m")).alias("x"))
+    different = rows.where("mixed").groupBy("a", "r").agg(F.sum("c").alias("c"), F.min(F.struct("k1", "k2", "owner", "s", "m", "o")).alias("x"))
     different = common.materialize(different.select("a", "r", "c", "x.*"), "different")
-    per_text = different.groupBy("k1", "k2", "owner").agg(F.collect_list(F.struct("a", "r", "c", "s", "m")).alias("runs"))
-    contents = docs.join(per_text, ["k1", "k2", "owner"]).select("text", "runs").mapInArrow(_contents(unit, window), "a long, r long, c long, content binary")
+    per_text = different.groupBy("k1", "k2", "owner").agg(F.collect_list(F.struct("a", "r", "c", "s", "m", "o")).alias("runs"))
+    contents = docs.join(per_text, ["k1", "k2", "owner"]).select("text", "runs").mapInArrow(_contents(unit, window), "a long, r long, c long, content binary, o int")
     sizes = different.groupBy("a").count().where(F.col("count") > most).select("a", F.lit(True).alias("large"))
     contents = contents.join(sizes, "a", "left")
     contents = common.materialize(contents, "contents")
-    small = contents.where("large is null").select("a", "r", "c", "content").repartition("a").sortWithinPartitions("a", "r")
-    found = small.mapInArrow(_compare(unit, window), "a long, r long, j int, e int")
+    small = contents.where("large is null").select("a", "r", "c", "content", "o").repartition("a").sortWithinPartitions("a", "r")
+    found = small.mapInArrow(compare or _compare(unit, window), "a long, r long, j int, e int")
     large = contents.where("large").select("a", "r", "c", "content").mapInArrow(_single_windows(unit, window), "a long, r long, c long, j int, h long")
     twice = large.groupBy("a", "h").agg((F.min("r") != F.max("r")).alias("d"), F.max("c").alias("c")).where("d or c > 1").select("a", "h")
     found = found.union(large.join(twice, ["a", "h"]).select("a", "r", "j", (F.col("j") + 1).alias("e")).distinct())
@@ -284,6 +288,6 @@ def covered(spans: list[dict], window: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def with_spans(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
+def with_spans(docs: DataFrame, unit: str, window: int, gram: int, compare=None) -> DataFrame:
     """keyed() docs with spans (null where nothing repeats)."""
-    return docs.join(repeated_windows(docs, unit, window, gram), ["k1", "k2"], "left")
+    return docs.join(repeated_windows(docs, unit, window, gram, compare), ["k1", "k2"], "left")
