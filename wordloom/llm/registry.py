@@ -2,6 +2,7 @@
 
 from .decontaminate import op1_decontaminate
 from .mixing import op5_mix_sources
+from .pii import op2_pii
 from .quality import op7_quality
 from .sharding import op6_shard
 from .simhash import op9_simhash
@@ -10,6 +11,7 @@ from .suffix import op8_suffix_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_pii": op2_pii,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_shard": op6_shard,
