@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
+from . import warc
 from .decontaminate import op1_decontaminate
 from .mixing import op5_mix_sources
 from .pii import op2_pii
@@ -8,11 +9,13 @@ from .sharding import op6_shard
 from .simhash import op9_simhash
 from .substring import op3_substring_dedup
 from .suffix import op8_suffix_dedup
+from .warc import op4_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_warc": op4_warc,
     "op5_mix_sources": op5_mix_sources,
     "op6_shard": op6_shard,
     "op7_quality": op7_quality,
@@ -20,4 +23,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
 }
 
-ORACLES = {}
+ORACLES = {"op4_warc": warc.ORACLE_SQL}
