@@ -1,6 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
 from . import warc
+from .audio import op10_audio
 from .decontaminate import op1_decontaminate
 from .mixing import op5_mix_sources
 from .pii import op2_pii
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
+    "op10_audio": op10_audio,
 }
 
 ORACLES = {"op4_warc": warc.ORACLE_SQL}
