@@ -172,7 +172,7 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): documents linked by fingerprints within radius, directly or through others.
+    """(doc_id, fp, root, component_id): documents linked by fingerprints within radius, directly or through others.
 
     component_id is the least doc_id of the component. Null and empty texts have fingerprint zero and
     link like any other; repeated rows stay; a null doc_id gets its component's id and never names it.
@@ -183,8 +183,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     root = components(links(fps.select("fp"), radius))
     member = fps.join(root, fps.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = member.join(named, "root").select("fp", "component_id")
-    return own.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = member.join(named, "root").select("fp", "root", "component_id")
+    return own.join(known, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def op9_simhash(spark, sf_dir):
