@@ -162,7 +162,7 @@ def encode(docs: DataFrame, text: str = "text") -> DataFrame:
         texts = batch.column(text).to_pylist()
         return [pa.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], pa.int64()), pa.array([to_wav(payload_of(t)) for t in texts], pa.binary())]
 
-    return common.append_arrow(docs, work, _MEDIA)
+    return common.append_arrow(docs, work, _MEDIA, text)
 
 
 def tensors(media: DataFrame, doc_id: str = "doc_id", column: str = "media") -> DataFrame:

@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,16 +58,31 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
 
 
-def append_arrow(df: DataFrame, work, fields: list[T.StructField]) -> DataFrame:
+SLICE_BYTES = 8 << 20
+
+
+def slices(batch: pa.RecordBatch, *texts: str, most: int = SLICE_BYTES):
+    """The batch in runs of rows whose texts have about `most` bytes together, one row at least."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for t in texts:
+        size += pc.fill_null(pc.binary_length(batch.column(t)), 0).to_numpy(zero_copy_only=False)
+    share = np.cumsum(size) // most
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(share)) + 1, [batch.num_rows]]) if batch.num_rows else [0]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(int(a), int(b - a))
+
+
+def append_arrow(df: DataFrame, work, fields: list[T.StructField], by: str | None = None) -> DataFrame:
     """df with the columns that work(RecordBatch) returns as a list of Arrow arrays.
 
-    Input columns named like a new one are replaced by it.
+    Input columns named like a new one are replaced by it. by: a text column; work gets slices of
+    bounded bytes of it.
     """
     df = df.drop(*[f.name for f in fields])
     schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in (slices(b, by) if by else (b,))):
             new = work(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *[f.name for f in fields]])
 

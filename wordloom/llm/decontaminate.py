@@ -241,7 +241,8 @@ FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("hit_items", T.A
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _pass(df: DataFrame, pairs: list, text: str, again: bool) -> DataFrame:
+def _pass(df: DataFrame, pairs: list, text: str, again: bool, cut: str | None = None) -> DataFrame:
+    """cut: a column for the texts without their spans so far."""
     phrases = Phrases(pairs)
 
     def work(batch):
@@ -252,20 +253,26 @@ def _pass(df: DataFrame, pairs: list, text: str, again: bool) -> DataFrame:
             items = [sorted({*a, *b}) for a, b in zip(items, batch.column("hit_items_").to_pylist(), strict=True)]
             old = batch.column("hit_spans_").to_pylist()
             spans = [merge([*a, *((x["start"], x["end"]) for x in b)]) for a, b in zip(spans, old, strict=True)]
-        return [
+        out = [
             pa.array([f[0] for f in found], pa.int64()),
             pa.array(items, pa.list_(pa.string())),
             pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _ARROW_SPANS),
         ]
+        if cut:
+            out.append(pa.array([_without(t, s) if s else t for t, s in zip(batch.column(text).to_pylist(), spans, strict=True)], pa.string()))
+        return out
 
     if again:
         df = df.withColumnsRenamed({"hit_items": "hit_items_", "hit_spans": "hit_spans_"})
-    return common.append_arrow(df, work, FIELDS).drop("hit_items_", "hit_spans_")
+    fields = [*FIELDS, *([T.StructField(cut, T.StringType())] if cut else [])]
+    return common.append_arrow(df, work, fields, text).drop("hit_items_", "hit_spans_")
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_phrases: int = MAX_PHRASES) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", cut: str | None = None, max_phrases: int = MAX_PHRASES) -> DataFrame:
     """docs with n_words, hit_items (sorted) and hit_spans (merged, in word numbers, end exclusive).
 
+    cut: the name of another column, the texts without their hit spans.
+
     Test items reach the driver one partition at a time, and a pass sends max_phrases of their phrases.
     """
     pairs: list = []
@@ -275,27 +282,22 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
         pairs += phrases_of(row.i, row.t)
         while len(pairs) >= max_phrases:
             out, pairs, passes = _pass(out, pairs[:max_phrases], text, passes > 0), pairs[max_phrases:], passes + 1
-    return _pass(out, pairs, text, passes > 0) if pairs or not passes else out
+    return _pass(out, pairs, text, passes > 0, cut) if pairs or not passes or cut else out
 
 
-def remove_hits(found: DataFrame, text: str = "text") -> DataFrame:
-    """Cut the hit spans out of the texts of find_hits(); texts without hits stay as they are."""
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    starts, ends = word_spans(text)
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(text[at : starts[a]])
+        at = ends[b - 1]
+    return "".join([*kept, text[at:]])
 
-    def work(batch):
-        out = []
-        for t, spans in zip(batch.column(text).to_pylist(), batch.column("hit_spans").to_pylist(), strict=True):
-            if spans:
-                starts, ends = word_spans(t)
-                kept, at = [], 0
-                for s in spans:
-                    kept.append(t[at : starts[s["start"]]])
-                    at = ends[s["end"] - 1]
-                t = "".join([*kept, t[at:]])
-            out.append(t)
-        return [pa.array(out, pa.string())]
-
-    order = [c for c in found.columns if c not in ("hit_spans",)]
-    return common.append_arrow(found.withColumn("decontaminated", F.lit(None).cast("string")), work, [T.StructField("decontaminated", T.StringType())]).select(*[F.col("decontaminated").alias(text) if c == text else c for c in order])
+
+def remove_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", **more) -> DataFrame:
+    """docs with the hit spans cut out of the texts, and n_words, hit_items and hit_spans; texts without hits stay as they are."""
+    found = find_hits(docs, benchmark, text, cut="decontaminated", **more)
+    return found.select(*[F.col("decontaminated").alias(text) if c == text else c for c in found.columns if c != "decontaminated"])
 
 
 def op1_decontaminate(spark, sf_dir):

@@ -93,7 +93,7 @@ def with_statistics(docs: DataFrame, text: str = "text", name: str = "stats") ->
     def work(batch):
         return [pa.array([statistics(t) for t in batch.column(text).to_pylist()], pa.list_(pa.float64()))]
 
-    return common.append_arrow(docs, work, [T.StructField(name, T.ArrayType(T.DoubleType()))])
+    return common.append_arrow(docs, work, [T.StructField(name, T.ArrayType(T.DoubleType()))], text)
 
 
 class Discriminant:

@@ -85,7 +85,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", size: int = 3, name:
     def work(batch):
         return [pa.array(fingerprints(batch.column(text).to_pylist(), size).view(np.int64), pa.int64())]
 
-    return common.append_arrow(docs, work, [T.StructField(name, T.LongType())])
+    return common.append_arrow(docs, work, [T.StructField(name, T.LongType())], text)
 
 
 def forest(fp: np.ndarray, radius: int) -> np.ndarray:
