@@ -1,7 +1,10 @@
 """Tokenizers and n-grams as Column expressions.
 
-Tokens are runs of ASCII character classes, at most MAX_TOKEN characters each: a longer run goes on in
-the next token. Letters A-Z are folded first unless the tokenizer is case-sensitive.
+alpha, alnum, graph and char tokens are runs of ASCII character classes; adp, cef and cef2 are made for
+mail: adp cuts letters and digits with the marks after them, and runs of marks; cef takes words joined by
+' - or ., letters with digits, repeated marks, prices and the parts of <addresses>; cef2 takes the atoms
+of mail headers, joined by dots or by colons. A token has at most MAX_TOKEN characters: a longer run
+goes on in the next token. Letters A-Z are folded first unless the tokenizer is case-sensitive.
 """
 
 from __future__ import annotations
@@ -23,8 +26,35 @@ def char_class(tokenizer: str, case_sensitive: bool = False) -> str:
     return CLASSES[tokenizer][bool(case_sensitive)]
 
 
+MARK = r"!-/:-@\[-`{-~"
+_LETTER = "a-zA-Z"
+_ATOM = r"!#$%&*+\-0-9=?A-Z^_`a-z{|}~"
+RULES = {
+    "adp": rf"[{_LETTER}0-9]+[{MARK}]*|[{MARK}]+|[^\x00-\xA0]",
+    "cef": rf"(?<=<)[^\s<>@]+(?=[^\s<>]*>)|(?<=@)[^\s<>@]+(?=>)|[{_LETTER}]+(?:['.-][{_LETTER}]+)+|[{_LETTER}]+[0-9]*|[0-9][{_LETTER}]+"
+    rf"|[$\u00A3][0-9]+(?:[.,][0-9]+)*|([{MARK}])\1+|[^\x00-\xA0]",
+    "cef2": rf"[{_ATOM}]+(?:(?:\.[{_ATOM}]+)+|(?::[{_ATOM}]+)+)?|[^\x00-\xA0]",
+}
+
+
+def _pieces(t: Column) -> Column:
+    """Runs of at most MAX_TOKEN characters."""
+    return F.regexp_extract_all(t, F.lit(rf"[\s\S]{{1,{MAX_TOKEN}}}"), F.lit(0))
+
+
+def _ruled(text: Column, tokenizer: str) -> Column:
+    found = F.regexp_extract_all(text, F.lit(RULES[tokenizer]), F.lit(0))
+    if tokenizer == "adp":  # a letter or mark that goes on is kept twice, three times at the start
+        found = F.transform(found, lambda t: F.regexp_replace(t, rf"(?<=.)([{_LETTER}{MARK}])\1{{2,}}", "$1$1"))
+    if tokenizer == "cef":
+        found = F.transform(found, lambda t: F.regexp_replace(t, rf"^([{MARK}])\1{{2,}}$", "$1$1$1"))
+    return F.flatten(F.transform(found, _pieces))
+
+
 def tokens(text: Column, tokenizer: str = "alpha", case_sensitive: bool = False) -> Column:
     """Array of the tokens of a line or a whole text; newlines belong to no class."""
+    if tokenizer in RULES:
+        return _ruled(text if case_sensitive else fold(text), tokenizer)
     size = "" if tokenizer == "char" else f"{{1,{MAX_TOKEN}}}"
     pattern = f"[{char_class(tokenizer, case_sensitive)}]{size}"
     return F.regexp_extract_all(text if case_sensitive else fold(text), F.lit(pattern), F.lit(0))
@@ -39,6 +69,9 @@ def closed_tokens(line: Column, tokenizer: str = "alpha", case_sensitive: bool =
     t = tokens(line, tokenizer, case_sensitive)
     if tokenizer == "char":
         return F.when(F.size(t) > 0, F.concat(t, F.array(F.lit("")))).otherwise(t)
+    if tokenizer in RULES:
+        open_end = (F.length(line) > 0) & ~line.rlike(rf"(?:{RULES[tokenizer]})\z")
+        return F.when((F.size(t) > 0) & open_end, F.concat(t, F.array(F.lit("")))).otherwise(t)
     open_end = (line if case_sensitive else fold(line)).rlike(f"[^{char_class(tokenizer, case_sensitive)}]\\z")
     return F.when((F.size(t) > 0) & open_end, F.concat(t, F.array(F.lit("")))).otherwise(t)
 
@@ -55,6 +88,31 @@ def grams(toks: Column, order: int) -> Column:
     return F.flatten(F.transform(toks, at))
 
 
+def matches(line: Column, pattern: str, groups: list[int], case_sensitive: bool = False) -> Column:
+    """Grams of a user's pattern: one for each place of the line where it matches, also where matches overlap.
+
+    The chosen groups (the whole match if there are none) make the gram; the pattern sees the line as it
+    is, and letters are folded afterwards.
+    """
+    whole = F.regexp_extract_all(line, F.lit(f"(?=({pattern}))"), F.lit(1))
+    if not groups:
+        out = whole
+    else:
+        parts = [F.regexp_extract_all(line, F.lit(f"(?=({pattern}))"), F.lit(1 + g)) for g in groups]
+        out = F.transform(F.arrays_zip(*[p.alias(f"g{k}") for k, p in enumerate(parts)]), lambda z: F.concat_ws(" ", *[z[f"g{k}"] for k in range(len(parts))]))
+    out = F.filter(out, lambda t: F.length(t) > 0)
+    return out if case_sensitive else F.transform(out, fold)
+
+
+def indented(lines_: Column) -> Column:
+    """Of an array of lines those that begin with a space, without it."""
+    return F.transform(F.filter(lines_, lambda x: x.startswith(" ")), lambda x: F.substring(x, 2, 1 << 30))
+
+
+def printable_runs(text: Column, least: int = 4) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"[ -~]{{{least},}}"), F.lit(0))
+
+
 def truncated(x: Column) -> Column:
     """Towards zero to a multiple of 1/32, of size 65535/32 at most."""
     size = F.least(F.floor(F.abs(x) * 32), F.lit(65535)) / 32.0

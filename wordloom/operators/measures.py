@@ -73,8 +73,6 @@ def dirichlet(n: np.ndarray, rounds: int = 300, tol: float = 1e-4) -> np.ndarray
     n = n[1:, 1:]
     totals = n.sum(1)
     most = int(n.max()) if n.size else 0
-    over = np.bincount(n[n > 0].astype(np.int64).clip(0, most), minlength=most + 2) if most else np.zeros(2)
-    del over
     inv = np.concatenate([[0.0], np.cumsum([1 / k if k >= 3 else 0.0 for k in range(1, max(2, most))])])
     inv2 = np.concatenate([[0.0], np.cumsum([1 / k**2 if k >= 3 else 0.0 for k in range(1, max(2, most))])])
     at = np.clip(n.astype(np.int64) - 1, 0, len(inv) - 1)
@@ -122,14 +120,6 @@ def cells(spark, w: np.ndarray, seen: np.ndarray | None = None) -> DataFrame:
     return spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in keep], "i int, j int, w double")
 
 
-def matrix_ref(gram: Column, w: np.ndarray) -> Column:
-    """Weight of a gram under a digram matrix: the sum over its steps, truncated again."""
-    flat = F.array(*[F.lit(float(x)) for x in w.ravel()]) if w.size <= 4096 else None
-    if flat is None:
-        raise ValueError("use apply_matrix for whole matrices")
-    return flat
-
-
 def apply_matrix(features: DataFrame, weights: DataFrame) -> DataFrame:
     """features with dref under (i, j, w) weights. The weights have 65,536 rows at most: broadcast."""
     h = F.concat(F.lit("01"), F.hex(F.translate("gram", " ", "\x01")), F.lit("01"))

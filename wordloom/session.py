@@ -1,14 +1,44 @@
-"""A session with settings that suit these queries; a cluster's own settings win."""
+"""A session with settings that suit these queries, and cutting of lineage in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
+    """A cluster's own settings win."""
     b = SparkSession.builder.appName("wordloom").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     if master:
         b = b.master(master)
     for k, v in conf.items():
         b = b.config(k.replace("_", "."), v)
     return b.getOrCreate()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written as Parquet in the folder of spark.checkpoint.dir and read again.
+
+    Executors may be lost: what follows starts from these files. A temporary folder serves only where
+    that setting is absent.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="wordloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder.rstrip('/')}/wordloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is not None:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
