@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,9 +29,10 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="wordloom-")
+        local = tempfile.mkdtemp(prefix="wordloom-")
+        folder = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(_remove, spark, folder)
+        atexit.register(shutil.rmtree, local, True)
     path = f"{folder.rstrip('/')}/wordloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
@@ -38,7 +40,8 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is not None:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """At the driver's end; a session that is stopped already leaves its files to the cluster's cleaning."""
+    jsc = spark.sparkContext._jsc
+    if jsc is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)

@@ -40,7 +40,7 @@ def save(features: DataFrame, meta: DataFrame, path: str, options: dict[str, str
 def load(spark: SparkSession, path: str, options: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(features, meta). options, if given, must be those the model was learned with."""
     meta = spark.read.parquet(f"{path}/meta")
-    for r in meta.select("version", "options").distinct().collect():  # a row a model at most
+    for r in meta.select("version", "options").collect():  # a row a model at most
         if r.version != VERSION:
             raise ValueError(f"model version {r.version}")
         if options is not None and dict(r.options) != (options or {"": ""}):
