@@ -312,3 +312,20 @@ def op1_decontaminate(spark, sf_dir):
         F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"),
         (F.size("hit_spans") > 0).alias("contaminated"),
     )
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+with d as (select doc_id, {_WORDS.format("text")} as w from documents),
+i as (select item_id::varchar as item, {_WORDS.format("text")} as w from benchmark where item_id is not null),
+win as (select item, n, array_to_string(w[k:k + n - 1], ' ') as gram
+  from (select item, w, least(len(w), {WINDOW}) as n, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) as k from i where len(w) > 0)),
+sizes as (select distinct n from win),
+spot as (select doc_id, n, pos, array_to_string(w[pos:pos + n - 1], ' ') as gram from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as pos from d cross join sizes where len(w) >= n)),
+hit as (select doc_id, pos, spot.n, item from spot join win on win.n = spot.n and win.gram = spot.gram),
+cover as (select doc_id, count(distinct p) as n_hit from (select distinct doc_id, unnest(range(pos, pos + n)) as p from hit) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as s from (select distinct doc_id, item from hit) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join cover using (doc_id) left join items using (doc_id)
+"""

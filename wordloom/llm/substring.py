@@ -51,3 +51,14 @@ def op3_substring_dedup(spark, sf_dir):
     docs = repeats.keyed(common.table(spark, sf_dir, "documents"))
     found = repeats.with_spans(docs, "words", WINDOW, GRAM).select("doc_id", "text", "spans")
     return found.mapInArrow(_keep(WINDOW, True), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+ORACLE_SQL = f"""
+with d as (select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+g as (select r, k, md5(array_to_string(w[k:k + {WINDOW - 1}], ' ')) as h from (select r, w, unnest(range(1, len(w) - {WINDOW - 2})) as k from d where len(w) >= {WINDOW})),
+twice as (select r, k from (select r, k, count(*) over (partition by h) as n from g) where n > 1),
+gone as (select r, list(distinct p) as ps from (select r, unnest(range(k, k + {WINDOW})) as p from twice) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(len(ps), 0)::bigint as n_removed,
+  sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(coalesce(ps, []), i)), lambda i: w[i]), ' ')) as kept_sha256
+from d left join gone using (r)
+"""
