@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as tx
 from ..operators import features as ft
+from ..operators import measures
 from ..operators import score as sc
 from ..sources import models
 
@@ -28,10 +29,7 @@ def scored_lines(lines: DataFrame, features: DataFrame, meta: DataFrame, tokeniz
     packed = w.agg(F.map_from_entries(F.collect_list(F.struct("gram", "lams"))).alias("m"))  # MAP_LIMIT entries at most
     toks = tx.tokens(F.col("line"), tokenizer)
     both = lines.withColumn("toks", toks).crossJoin(F.broadcast(packed))  # one row
-    out = []
-    for k, r in enumerate(rows):
-        step = lambda t, k=k, r=r: F.coalesce(F.try_element_at("m", t)[k], F.lit(0.0)) + (F.octet_length(t) + 1) * F.lit(-177 / 32) - F.lit(r.log_z)
-        out.append(F.aggregate(F.transform("toks", step), F.lit(0.0), lambda a, x: a + x).alias(f"score_{r.model}"))
+    out = [_line_score(k, r.log_z).alias(f"score_{r.model}") for k, r in enumerate(rows)]
     names = F.array(*[F.struct((-F.col(f"score_{r.model}")).alias("s"), F.lit(r.model).alias("model")) for r in rows])
     return both.select("line_id", "line", *out).withColumn("best", F.array_min(names)["model"])
 
@@ -39,6 +37,11 @@ def scored_lines(lines: DataFrame, features: DataFrame, meta: DataFrame, tokeniz
 MAP_LIMIT = 2_000_000
 
 
+def _line_score(k: int, log_z: float):
+    step = lambda t: F.coalesce(F.try_element_at("m", t)[k], F.lit(0.0)) + (F.octet_length(t) + 1) * F.lit(measures.UNIFORM) - F.lit(log_z)
+    return F.aggregate(F.transform("toks", step), F.lit(0.0), lambda a, x: a + x)
+
+
 def filter_lines(spark: SparkSession, source: DataFrame, model_path: str, keep: list[str], sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Lines whose best model is one of keep go to the sink; the model is read anew for each batch."""
 
