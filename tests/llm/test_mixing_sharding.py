@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from wordloom.llm import mixing, sharding
 
 
@@ -46,6 +47,23 @@ def test_mix(spark, tmp_path, seed):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.op5_mix_sources(spark, str(tmp_path)).collect()))
 
 
+def test_small_sources_meet_their_targets(spark):
+    """Sources of far less than a block beside large ones, as documents of the operator and of the pipeline's stage."""
+    r = random.Random(4)
+    docs = [(k, " ".join("w" * 2000), "big") for k in range(100)] + [(1000 + k, " ".join("w" * 900), "mid") for k in range(20)]
+    docs += [(2000 + k, " ".join("w" * r.randrange(5, 90)), f"tail{k % 40}") for k in range(120)]
+    rows = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    taken, target = {}, {}
+    for x in mixing.mix(mixing.sized(rows)).collect():
+        taken[x.source] = taken.get(x.source, 0) + x.taken
+        target[x.source] = x.target
+    assert len(target) == 42
+    for s, t in target.items():
+        assert t > 0 and abs(taken[s] - t) <= 0.5 + 1e-6, s
+    kept = {x.doc_id for x in corpus_pipeline.mixing_stage(spark, rows, None).collect()}
+    assert {i for i, _, s in docs if s.startswith("tail")} <= kept
+
+
 def test_schedule_is_even(spark):
     t = spark.createDataFrame([("a", 1, 100_000.0), ("b", 2, 300_000.0), (None, 3, 0.0)], "source string, place int, target double")
     rows = sorted(mixing.schedule(t, 1000).collect())

@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy source schedule.
 
 Slot i of the schedule takes golden-ratio point frac((i + 1) / phi) and the source in whose share of
-the cumulative weights the point falls. The k-th slot of a source is its k-th block of `block` words:
-the source's documents, shuffled by a seeded hash, are laid end to end and cut into equal blocks,
-and the line starts over when it ends (up to `max_repeat` times). So any stretch of the schedule
-holds the sources in close to the target proportions, and reruns agree.
+the cumulative weights the point falls. So any stretch of the schedule holds the sources in close to
+the target proportions. The slots are an order only: how much is taken of a source is its target, to the
+word, since a source of about a block or less often has no slot. A source's documents, shuffled by
+a seeded hash, are laid end to end, the line starts over when it ends (up to `max_repeat` times), and
+the target's length of it is taken. Reruns agree.
 
 Running sums and ranks are two-level (within a bucket, plus the bucket's offset), so a source that
 holds a third of all rows is spread over many tasks. Only DataFrame and SQL functions are used.
@@ -89,17 +90,16 @@ CELLS = 256
 STRETCH = 65536
 
 
-def mix(docs: DataFrame, block: int = BLOCK, max_repeat: int = MAX_REPEAT, seed: int = 17) -> DataFrame:
-    """docs (doc_id, source, size, ...) with source_size, target and taken, the words the schedule takes.
+def mix(docs: DataFrame, max_repeat: int = MAX_REPEAT, seed: int = 17) -> DataFrame:
+    """docs (doc_id, source, size, ...) with source_size, target and taken, the words taken.
 
-    The blocks that a source's slots take are its first ones, in order, so what is taken of a
-    document follows from where it lies in the line and how many slots the source has.
+    A source's target, rounded, is how long a stretch of its line is taken, so what is taken of a
+    document follows from where it lies in the line.
     """
     lined = _lines(docs, seed)
     per_bucket = common.materialize(lined.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")), "buckets")
     sizes = targets(per_bucket.groupBy("source").agg(F.sum("in_bucket").alias("source_size")), max_repeat)
-    slots = schedule(sizes, block).groupBy("place").agg(F.count("*").alias("slots"))
-    sizes = sizes.join(slots, "place", "left").withColumn("stretch", F.least(F.coalesce("slots", F.lit(0)) * block, F.col("source_size") * max_repeat))
+    sizes = sizes.withColumn("stretch", F.least(F.round("target").cast("long"), F.col("source_size") * max_repeat))
     order = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     per_bucket = per_bucket.withColumn("before", F.coalesce(F.sum("in_bucket").over(order), F.lit(0)))
     sizes = sizes.withColumnRenamed("source", "source_")
