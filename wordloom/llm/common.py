@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import tempfile
 import uuid
 
@@ -10,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the setting is absent."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; a cluster, an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wordloom-")
         sc.setCheckpointDir(found)
         found = sc._jsc.sc().getCheckpointDir().get()
@@ -30,32 +33,47 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends."""
+    """A fresh path in the shared folder, removed when the driver's Python ends, if not before."""
     path = f"{shared_dir(spark)}/wordloom-{tag}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is gone already; the folder is the cluster's to clean
-        pass
+    jsc = spark.sparkContext._jsc
+    if jsc is not None:  # else the session is gone already; the folder is the cluster's to clean
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, tag)
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """Those columns and no others, so that columns with clashing names are of no account."""
-    return df.select(*columns)
+class Scratch:
+    """Tables of one computation, by tag, that go as soon as what was made of them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        path = new_path(self.spark, tag)
+        df.write.parquet(path)
+        self.paths.setdefault(tag, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tags: str) -> None:
+        """Delete those tables, and let Spark delete the shuffle files of finished jobs.
+
+        Spark removes a shuffle's files once the driver's JVM has collected the plan that made them,
+        which it may put off for half an hour; this asks for it.
+        """
+        for tag in tags:
+            for path in self.paths.pop(tag, []):
+                remove(self.spark, path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 SLICE_BYTES = 8 << 20
@@ -88,6 +106,3 @@ def append_arrow(df: DataFrame, work, fields: list[T.StructField], by: str | Non
 
     return df.mapInArrow(run, schema)
 
-
-def sha256_hex(column):
-    return F.sha2(column, 256)

@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps, all in DataFrames.
 
 Each round is written to the shared folder, so a lost executor costs no more than its round. Minima
-are pre-aggregated before the shuffle; the joins that spread them have one row per node on one side,
-so that a hub's edges may be split by adaptive execution.
+are pre-aggregated before the shuffle and written, so that the joins that spread them have an exchange alone on
+either side and one row per node on one: adaptive execution may split a hub's edges.
 """
 
 from __future__ import annotations
@@ -22,17 +22,19 @@ def components(edges: DataFrame) -> DataFrame:
     no edges give no rows.
     """
     e = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = common.materialize(e, "edges")
+    tables = common.Scratch(edges.sparkSession)
+    e = tables.write(e, "0")
     before = _digest(e)
-    for _ in range(MAX_ROUNDS):
+    for k in range(1, MAX_ROUNDS + 1):
         both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = tables.write(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = tables.write(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a")
         after = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        e = common.materialize(after, "edges")
+        e = tables.write(after, str(k))
         now = _digest(e)
+        tables.drop(str(k - 1), "least")
         if now == before:
             break
         before = now
