@@ -189,44 +189,80 @@ def _window_hashes(units, contents: list[bytes], window: int) -> tuple[np.ndarra
     return which, j, ((p[s + window] - p[s]) * inverse[s]).view(np.int64)
 
 
+def _refined(classes: np.ndarray, units: np.ndarray, many: int) -> np.ndarray:
+    """Classes of those that agree in their class and in the next unit; a class or unit below 0 gives -1."""
+    out = np.full(len(classes), -1, np.int64)
+    ok = np.flatnonzero((classes >= 0) & (units >= 0))
+    out[ok] = np.unique(classes[ok] * many + units[ok], return_inverse=True)[1]
+    return out
+
+
+def _extended(flat, begin, size, anchor, classes, step: int, most: int):
+    """Classes of contents that agree in k units from the anchor on (step 1) or before it (step -1), for k = 0 to most."""
+    many = int(flat.max()) + 1 if len(flat) else 1
+    found = [classes]
+    for k in range(most):
+        at = anchor + k if step > 0 else anchor - 1 - k
+        there = (at >= 0) & (at < size)
+        unit = np.full(len(anchor), -1, np.int64)
+        unit[there] = flat[(begin + at)[there]]
+        found.append(_refined(found[-1], unit, many))
+    return found
+
+
 def _compare(unit: str, window: int, limit: int = 6_000_000):
-    """Which windows of an anchor's stretches repeat; rows come sorted by anchor and stretch."""
+    """Which windows of an anchor's stretches repeat; rows come sorted by anchor and stretch.
+
+    All stretches of an anchor are matched at once. From the anchor on, and before it, matches are
+    extended unit by unit: stretches that agree so far are a class, and the next unit splits it. The
+    window that begins x units before the anchor repeats if another stretch agrees in x units to the
+    left and in the window's others to the right. No pairs of stretches are made.
+    """
 
-    def solve(units, a, r, c, contents):
+    def solve(units, a, r, c, contents, anchor):
         keep = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(r) != 0)]))  # copies of a text give the same
         copies = np.maximum.reduceat(c, keep)
-        a, r, contents = a[keep], r[keep], [contents[i] for i in keep]
-        which, j, h = _window_hashes(units, contents, window)
-        order = np.lexsort((h, a[which]))
-        ow, oh = which[order], h[order]
-        same = (oh[1:] == oh[:-1]) & (a[ow[1:]] == a[ow[:-1]])
-        dup = np.zeros(len(order), bool)
-        dup[1:] |= same
-        dup[:-1] |= same
-        hit = np.zeros(len(order), bool)
-        hit[order] = dup
-        hit |= copies[which] > 1
-        edge = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (np.diff(which) == 0)]))
-        stop = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (np.diff(which) == 0), [False]]))
-        return pa.RecordBatch.from_arrays([pa.array(a[which[edge]]), pa.array(r[which[edge]]), pa.array(j[edge].astype(np.int32)), pa.array((j[stop] + 1).astype(np.int32))], names=["a", "r", "j", "e"])
+        a, r, anchor, contents = a[keep], r[keep], anchor[keep], [contents[i] for i in keep]
+        hs = [units.hashes(x) for x in contents]
+        size = np.array([len(x) for x in hs], np.int64)
+        begin = np.cumsum(size) - size
+        flat = np.unique(np.concatenate(hs), return_inverse=True)[1].astype(np.int64)
+        same = np.unique(a, return_inverse=True)[1].astype(np.int64)
+        right = _extended(flat, begin, size, anchor, same, 1, window)
+        left = _extended(flat, begin, size, anchor, same, -1, int(anchor.max()))
+        which, at = [], []
+        for x in range(int(anchor.max()) + 1):
+            j = anchor - x
+            ok = np.flatnonzero((j >= 0) & (j + window <= size))
+            both = np.unique(left[x][ok] * len(a) + right[window - x][ok], return_inverse=True)[1]
+            hit = (np.bincount(both)[both] > 1) | (copies[ok] > 1) if len(ok) else ok.astype(bool)
+            which.append(ok[hit])
+            at.append(j[ok[hit]])
+        which, at = np.concatenate(which), np.concatenate(at)
+        order = np.lexsort((at, which))
+        which, at = which[order], at[order]
+        first = np.concatenate([[True], (np.diff(which) != 0) | (np.diff(at) != 1)])[: len(at)]
+        last = np.concatenate([first[1:], [True]])[: len(at)]
+        return pa.RecordBatch.from_arrays([pa.array(a[which[first]]), pa.array(r[which[first]]), pa.array(at[first].astype(np.int32)), pa.array((at[last] + 1).astype(np.int32))], names=["a", "r", "j", "e"])
 
     def run(batches):
         units = UNITS[unit]()
-        a, r, c, x, size = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+        none = np.empty(0, np.int64)
+        a, r, c, o, x, size = none, none, none, none, [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                a, r, c = (np.concatenate([u, v.to_numpy(zero_copy_only=False)]) for u, v in zip((a, r, c), part.columns[:3], strict=True))
-                new = part.column(3).to_pylist()
+                a, r, c, o = (np.concatenate([u, part.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for u, k in zip((a, r, c, o), ("a", "r", "c", "o"), strict=True))
+                new = part.column("content").to_pylist()
                 x += new
                 size += sum(map(len, new))
                 if size >= limit and a[0] != a[-1]:
                     cut = int(np.flatnonzero(a != a[-1])[-1]) + 1
-                    yield solve(units, a[:cut], r[:cut], c[:cut], x[:cut])
-                    a, r, c, x = a[cut:], r[cut:], c[cut:], x[cut:]
+                    yield solve(units, a[:cut], r[:cut], c[:cut], x[:cut], o[:cut])
+                    a, r, c, x, o = a[cut:], r[cut:], c[cut:], x[cut:], o[cut:]
                     size = sum(map(len, x))
         if len(a):
-            yield solve(units, a, r, c, x)
+            yield solve(units, a, r, c, x, o)
 
     return run
 
@@ -255,26 +291,34 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, compare
 
     compare, if given, takes the place of the comparison of an anchor's stretches by window hashes.
     """
+    tables = common.Scratch(docs.sparkSession)
     seeds = docs.select("k1", "k2", "owner", "text").mapInArrow(_seed_rows(unit, window, gram), "a long, r long, k1 long, k2 long, owner long, s int, m int, o int, c long")
-    seeds = common.materialize(seeds, "seeds")
+    seeds = tables.write(seeds, "seeds")
     anchors = seeds.groupBy("a").agg(F.sum("c").alias("n"), (F.min("r") != F.max("r")).alias("mixed")).where("n > 1").select("a", "mixed")
-    rows = common.materialize(seeds.join(anchors, "a"), "repeated")
+    anchors = tables.write(anchors, "anchors")  # so that the join that follows may split a hot anchor
+    rows = tables.write(seeds.join(anchors, "a"), "repeated")
+    tables.drop("seeds", "anchors")
     whole = rows.where("not mixed").select("k1", "k2", F.col("s").alias("b"), (F.col("s") + F.col("m")).alias("e"))
     different = rows.where("mixed").groupBy("a", "r").agg(F.sum("c").alias("c"), F.min(F.struct("k1", "k2", "owner", "s", "m", "o")).alias("x"))
-    different = common.materialize(different.select("a", "r", "c", "x.*"), "different")
+    different = tables.write(different.select("a", "r", "c", "x.*"), "different")
     per_text = different.groupBy("k1", "k2", "owner").agg(F.collect_list(F.struct("a", "r", "c", "s", "m", "o")).alias("runs"))
     contents = docs.join(per_text, ["k1", "k2", "owner"]).select("text", "runs").mapInArrow(_contents(unit, window), "a long, r long, c long, content binary, o int")
     sizes = different.groupBy("a").count().where(F.col("count") > most).select("a", F.lit(True).alias("large"))
     contents = contents.join(sizes, "a", "left")
-    contents = common.materialize(contents, "contents")
+    contents = tables.write(contents, "contents")
+    tables.drop("different")
     small = contents.where("large is null").select("a", "r", "c", "content", "o").repartition("a").sortWithinPartitions("a", "r")
     found = small.mapInArrow(compare or _compare(unit, window), "a long, r long, j int, e int")
     large = contents.where("large").select("a", "r", "c", "content").mapInArrow(_single_windows(unit, window), "a long, r long, c long, j int, h long")
     twice = large.groupBy("a", "h").agg((F.min("r") != F.max("r")).alias("d"), F.max("c").alias("c")).where("d or c > 1").select("a", "h")
     found = found.union(large.join(twice, ["a", "h"]).select("a", "r", "j", (F.col("j") + 1).alias("e")).distinct())
+    found = tables.write(found, "found")
+    tables.drop("contents")
     spans = rows.where("mixed").select("a", "r", "k1", "k2", "s").join(found, ["a", "r"]).select("k1", "k2", (F.col("s") + F.col("j")).alias("b"), (F.col("s") + F.col("e")).alias("e"))
-    both = whole.union(spans)
-    return both.groupBy("k1", "k2").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
+    both = whole.union(spans).groupBy("k1", "k2").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
+    both = common.materialize(both, "spans")
+    tables.drop("repeated", "found")
+    return both
 
 
 def covered(spans: list[dict], window: int) -> list[tuple[int, int]]:
