@@ -63,11 +63,11 @@ def test_links_cover_radius_and_hot_buckets(spark):
             fps.add(x)
     fps |= {(base[0] & ~0xFFFFFFFF) | r.getrandbits(32) for _ in range(60)}  # one half in common
     fps = sorted(fps)
-    want = classes(fps)
     df = spark.createDataFrame([(int(np.array(f, np.uint64).view(np.int64)),) for f in fps], "fp long")
-    for most in (2048, 8):
-        found = [(x.a % 2**64, x.b % 2**64) for x in s.links(df, 3, most).collect()]
-        assert all((a ^ b).bit_count() <= 3 for a, b in found)
+    for radius in (0, 1, 2, 3):
+        want = classes(fps, radius)
+        found = [(x.a % 2**64, x.b % 2**64) for x in s.links(df, radius, 1000).collect()]
+        assert all((a ^ b).bit_count() <= radius for a, b in found)
         at = {f: k for k, f in enumerate(fps)}
         root = list(range(len(fps)))
 

@@ -1,16 +1,18 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-A fingerprint has 64 bits. Two fingerprints within RADIUS = 3 bits differ in at most one bit in one
-of their halves (two bits or more in both would be four). So each fingerprint emits, for either
-half, the half itself and all its variants at one bit, that is half the radius rounded down, and
-the pair meets on a variant. A shuffle on (half, variant) brings candidates together; keys that
-hold one fingerprint are dropped by a window count on the JVM side. Candidates are verified by the
-Hamming distance of the whole fingerprints. In a bucket no list of pairs is made: what leaves it is
-a spanning forest of its links, fewer rows than the bucket has. A bucket over MOST fingerprints is
-dealt out again, exactly, by balls around the quarters of the other half (which differs by at most
-three bits, so by at most one in one of the quarters), before any task holds it.
-
-Copies collapse first: only distinct fingerprints take part.
+A fingerprint has 64 bits, and links reach RADIUS = 3. Every fingerprint emits all its variants within
+half the radius: all fingerprints those at one bit and itself (rounded down), and those with an odd number of
+ones also variants at two bits (rounded up). Two fingerprints at one or two bits meet in the middle by the former. Of two
+at three bits one has an odd number of ones; two of the three bits lie in the same half of the 64, and they
+meet where this one flips these two and the other the third. So two-bit variants within a half are
+enough: 992 instead of 2016.
+
+The shuffle is on the variant, 64 bits that the corpus's size doesn't crowd. A variant's members are
+distinct fingerprints of its ball, 1057 at most however many documents there are. If one of them is within one bit, all
+the others are within three bits of it: it is the centre, and each other one gets a link to it, which is verified by its
+distance. Members at two bits only aren't links by this variant. So there is no comparison of all pairs of a group.
+
+Copies collapse first: only distinct fingerprints take part. Balls, meeting and links are SQL functions.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +29,6 @@ from . import common
 from .components import components
 
 RADIUS = 3
-MOST = 2048
 CHUNK = 200_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -88,87 +90,27 @@ def with_fingerprints(docs: DataFrame, text: str = "text", size: int = 3, name:
     return common.append_arrow(docs, work, [T.StructField(name, T.LongType())], text)
 
 
-def forest(fp: np.ndarray, radius: int) -> np.ndarray:
-    """Links (i, j) that connect what the distances up to radius connect, one fewer than members."""
-    n = len(fp)
-    root = np.arange(n)
-    links = []
-    step = max(1, 4_000_000 // max(n, 1))
-    for a in range(0, n, step):
-        near = np.bitwise_count(fp[a : a + step, None] ^ fp[None, :]) <= radius
-        i, j = np.nonzero(np.triu(near, k=a + 1) if a == 0 else near)
-        i += a
-        keep = j > i
-        for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-            rx, ry = x, y
-            while root[rx] != rx:
-                root[rx] = root[root[rx]]
-                rx = root[rx]
-            while root[ry] != ry:
-                root[ry] = root[root[ry]]
-                ry = root[ry]
-            if rx != ry:
-                root[max(rx, ry)] = min(rx, ry)
-                links.append((x, y))
-    return np.array(links, np.int64).reshape(-1, 2)
-
-
-def bucket_links(batches, radius: int, limit: int = 200_000):
-    """Links within runs of equal keys; rows come sorted by key. Small buckets go in one sweep."""
-
-    def solve(key, fp):
-        cut = np.flatnonzero(np.diff(key)) + 1
-        starts = np.concatenate([[0], cut])
-        sizes = np.diff(np.concatenate([starts, [len(key)]]))
-        out = []
-        member = np.repeat(sizes, sizes)
-        small = member <= 4
-        for o in (1, 2, 3):
-            i = np.flatnonzero(small[:-o] & (key[:-o] == key[o:])) if len(key) > o else np.empty(0, np.int64)
-            i = i[np.bitwise_count(fp[i] ^ fp[i + o]) <= radius]
-            out.append(np.stack([fp[i], fp[i + o]], 1))
-        for s, m in zip(starts[sizes > 4].tolist(), sizes[sizes > 4].tolist(), strict=True):
-            own = fp[s : s + m]
-            out.append(own[forest(own, radius)].reshape(-1, 2))
-        found = np.concatenate(out)
-        return np.unique(found, axis=0).view(np.int64) if len(found) else found.view(np.int64)
-
-    held_key, held_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-    for batch in batches:
-        held_key = np.concatenate([held_key, batch.column(0).to_numpy(zero_copy_only=False)])
-        held_fp = np.concatenate([held_fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        if len(held_key) >= limit and held_key[0] != held_key[-1]:
-            cut = int(np.searchsorted(held_key, held_key[-1]))  # the last bucket may go on
-            yield solve(held_key[:cut], held_fp[:cut])
-            held_key, held_fp = held_key[cut:], held_fp[cut:]
-    if len(held_key):
-        yield solve(held_key, held_fp)
-
-
-def _balls(value: str, width: int, tag: str) -> str:
-    """SQL: an array of keys, the value and its variants at one bit, each hashed with a tag."""
-    flips = ", ".join(f"{value} ^ {1 << k}L" if k < 63 else value for k in range(width))
-    return f"transform(array({value}, {flips}), v -> xxhash64({tag}, v))"
-
-
-def links(fps: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp), enough to connect all within radius 3."""
-    if radius > 3:
-        raise ValueError("balls of half the radius around halves cover radius 3 at most")
-    low, high = "(fp & 4294967295L)", "(shiftrightunsigned(fp, 32))"
-    half = lambda name, value: f"struct({name} as h, {_balls(value, 32, name)} as keys)"
-    rows = fps.selectExpr("fp", f"explode(array({half('0', low)}, {half('1', high)})) as x").selectExpr("fp", "x.h as h", "explode(x.keys) as key")
-    rows = rows.selectExpr("fp", "h", "key", "count(1) over (partition by key) as n").where("n > 1")
-    other = f"(case when h = 0 then {high} else {low} end)"
-    quarters = f"concat({_balls(f'({other} & 65535L)', 16, 'key, 2')}, {_balls(f'shiftrightunsigned({other}, 16)', 16, 'key, 3')})"
-    rows = rows.selectExpr("fp", f"explode(case when n <= {int(most)} then array(key) else {quarters} end) as key")
-
-    def work(batches):
-        for found in bucket_links(batches, radius):
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-    dealt = rows.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+def _masks(radius: int) -> tuple[list[int], list[int]]:
+    """What to flip for variants within half the radius rounded down, and for those that rounding up adds."""
+    signed = lambda m: m - (m >> 63 << 64)
+    ones = [signed(1 << k) for k in range(64)]
+    twos = [signed(1 << j | 1 << k) for half in (range(32), range(32, 64)) for j in half for k in half if j < k]
+    return {0: ([0], []), 1: ([0], ones), 2: ([0, *ones], []), 3: ([0, *ones], twos)}[radius]
+
+
+def links(fps: DataFrame, radius: int = RADIUS, variants_a_task: int = 4_000_000) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp), enough to connect all within the radius."""
+    if not 0 <= radius <= 3:
+        raise ValueError("a radius from 0 to 3 is expected")
+    near, far = _masks(radius)
+    tasks = -(-fps.count() * (len(near) + len(far)) // variants_a_task)
+    own = fps.select("fp").repartition(min(max(1, tasks), 20_000))  # a few bytes a row become many rows
+    mask = F.when(F.bit_count("fp") % 2 == 1, F.lit([*near, *far])).otherwise(F.lit(near))
+    met = own.select("fp", F.explode(mask).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
+    distance = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    centre = F.min(F.when(distance("fp", "variant") <= radius // 2, F.col("fp"))).over(W.partitionBy("variant"))
+    met = met.withColumn("centre", centre).where((F.col("fp") != F.col("centre")) & (distance("fp", "centre") <= radius))
+    return met.select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -179,11 +121,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     own = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", size).drop("text")
     own = common.materialize(own, "fingerprints")
-    fps = common.materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = components(links(fps.select("fp"), radius))
+    tables = common.Scratch(docs.sparkSession)
+    fps = tables.write(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    edges = tables.write(links(fps.select("fp"), radius), "links")
+    tables.drop()
+    root = components(edges)
     member = fps.join(root, fps.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = member.join(named, "root").select("fp", "root", "component_id")
+    known = common.materialize(member.join(named, "root").select("fp", "root", "component_id"), "known")
+    tables.drop("distinct", "links")
     return own.join(known, "fp").select("doc_id", "fp", "root", "component_id")
 
 
