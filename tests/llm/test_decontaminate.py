@@ -16,7 +16,7 @@ def fold(t):
 
 def brute(docs, items):
     out = {}
-    phrases = [(str(i), w) for i, t in items if i is not None for w in [fold(t)] if w]
+    phrases = [("" if i is None else str(i), w) for i, t in items for w in [fold(t)] if w]
     for key, t in docs:
         w, hit, found = fold(t), set(), set()
         for i, p in phrases:
@@ -34,7 +34,7 @@ def case(seed):
     r = random.Random(seed)
     v = ["a", "B", "ü9", "c"]
     text = lambda n: "".join(r.choice(v) + r.choice([" ", ", ", "\n", "\x00"]) for _ in range(n))
-    items = [(1, text(12)), (2, text(3)), (10, ""), (11, None), (12, "zz yy"), (None, "zz")]
+    items = [(1, text(12)), (2, text(3)), (10, ""), (11, None), (12, "zz yy"), (None, "zz"), (None, "yy yy")]
     docs = [(k, text(r.randrange(60))) for k in range(12)] + [(90, None), (91, ""), (92, "..."), (93, items[0][1]), (94, items[0][1])]
     docs.append((95, text(500) + items[0][1] + "zz! YY"))
     return docs, items

@@ -12,8 +12,9 @@ The test phrases go out with the tasks. A pass takes at most `max_phrases` of th
 what is sent; more phrases are dealt over several narrow passes, each adding to the spans so far.
 
 Defined cases: a null or empty text has no words, no spans, and isn't contaminated; a null or empty
-item has no phrases; items with equal texts are all reported; repeated rows are treated one by one;
-empty tables give empty results.
+item has no phrases; a null item_id is the empty string, and items of equal ids are one; items with
+equal texts are all reported; repeated rows are treated one by one; empty tables give empty results;
+columns named like new ones are replaced, and only names that begin with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -250,8 +251,8 @@ def _pass(df: DataFrame, pairs: list, text: str, again: bool, cut: str | None =
         items = [sorted(phrases.items[i] for i in f[1]) for f in found]
         spans = [f[2] for f in found]
         if again:
-            items = [sorted({*a, *b}) for a, b in zip(items, batch.column("hit_items_").to_pylist(), strict=True)]
-            old = batch.column("hit_spans_").to_pylist()
+            items = [sorted({*a, *b}) for a, b in zip(items, batch.column("__hit_items").to_pylist(), strict=True)]
+            old = batch.column("__hit_spans").to_pylist()
             spans = [merge([*a, *((x["start"], x["end"]) for x in b)]) for a, b in zip(spans, old, strict=True)]
         out = [
             pa.array([f[0] for f in found], pa.int64()),
@@ -263,9 +264,9 @@ def _pass(df: DataFrame, pairs: list, text: str, again: bool, cut: str | None =
         return out
 
     if again:
-        df = df.withColumnsRenamed({"hit_items": "hit_items_", "hit_spans": "hit_spans_"})
+        df = df.withColumnsRenamed({"hit_items": "__hit_items", "hit_spans": "__hit_spans"})
     fields = [*FIELDS, *([T.StructField(cut, T.StringType())] if cut else [])]
-    return common.append_arrow(df, work, fields, text).drop("hit_items_", "hit_spans_")
+    return common.append_arrow(df, work, fields, text).drop("__hit_items", "__hit_spans")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", cut: str | None = None, max_phrases: int = MAX_PHRASES) -> DataFrame:
@@ -277,7 +278,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     """
     pairs: list = []
     out, passes = docs, 0
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null")
+    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
     for row in rows.toLocalIterator():
         pairs += phrases_of(row.i, row.t)
         while len(pairs) >= max_phrases:
@@ -296,8 +297,8 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", **more) -> DataFrame:
     """docs with the hit spans cut out of the texts, and n_words, hit_items and hit_spans; texts without hits stay as they are."""
-    found = find_hits(docs, benchmark, text, cut="decontaminated", **more)
-    return found.select(*[F.col("decontaminated").alias(text) if c == text else c for c in found.columns if c != "decontaminated"])
+    found = find_hits(docs, benchmark, text, cut="__without_hits", **more)
+    return found.select(*[F.col("__without_hits").alias(text) if c == text else c for c in found.columns if c != "__without_hits"])
 
 
 def op1_decontaminate(spark, sf_dir):
@@ -317,7 +318,7 @@ def op1_decontaminate(spark, sf_dir):
 _WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE_SQL = f"""
 with d as (select doc_id, {_WORDS.format("text")} as w from documents),
-i as (select item_id::varchar as item, {_WORDS.format("text")} as w from benchmark where item_id is not null),
+i as (select coalesce(item_id::varchar, '') as item, {_WORDS.format("text")} as w from benchmark),
 win as (select item, n, array_to_string(w[k:k + n - 1], ' ') as gram
   from (select item, w, least(len(w), {WINDOW}) as n, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) as k from i where len(w) > 0)),
 sizes as (select distinct n from win),
