@@ -134,7 +134,8 @@ def test_table_is_filled_by_turns():
 
 
 def test_place(spark):
-    docs = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "doc_id long, shard string")
+    docs = spark.createDataFrame([(1, "x", 5), (1, "y", 5), (None, "z", None)], "doc_id long, shard string, slot_ int")
+    assert sharding.place(docs).columns == ["doc_id", "slot_", "slot", "shard"]
     table = sharding.fill()
     for x in sharding.place(docs).collect():
         slot = int(hashlib.md5(b"" if x.doc_id is None else str(x.doc_id).encode()).hexdigest()[:15], 16) % sharding.SLOTS

@@ -8,7 +8,7 @@ its key modulo the size, and the table, of a fixed size, goes out with the tasks
 look-up, with no shuffle.
 
 Defined cases: a null key is placed like the empty string; equal keys go to the same shard; empty
-tables give empty results; a column named like a new one is replaced.
+tables give empty results; columns named slot or shard are replaced, all others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -61,9 +61,10 @@ def place(docs: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS
     spark = docs.sparkSession
     table = spark.createDataFrame(list(enumerate(fill(shards, slots))), "slot_ long, n_ int")
     names = F.array(*[F.lit(s) for s in shards])
-    docs = docs.drop("slot", "shard", "slot_", "n_")
-    found = docs.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(table), F.col("slot") == F.col("slot_"), "left")
-    return found.withColumn("shard", F.element_at(names, F.col("n_") + 1)).drop("slot_", "n_")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), slot_of(F.col(key), slots).alias("slot"))
+    found = rows.join(F.broadcast(table), F.col("slot") == F.col("slot_"), "left")
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("slot", "shard")]
+    return found.select(*kept, "slot", F.element_at(names, F.col("n_") + 1).alias("shard"))
 
 
 def op6_shard(spark, sf_dir):
