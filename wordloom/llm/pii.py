@@ -6,9 +6,9 @@ that the base patterns leave out: obfuscated addresses ("name [at] host dot tld"
 separators that the base patterns don't take, and undersigned numbers after a word that announces
 them. Three labelers vote 1, 0 or abstain on each candidate: a pattern labeler on its form, a
 gazetteer labeler on known endings and prefixes, a context labeler on announcing words before it.
-Votes are counted by (kind, votes), at most 27 rows a kind; EM runs over these counts and gives each
-labeler's hit rates and each combination's posterior; a logistic regression on the votes and the
-kind, fitted to the posteriors, is the final classifier, and candidates over one half are added
+Votes are counted by (kind, votes, size and marks of the span), at most 27 x 16 rows a kind; EM runs over these counts and gives each
+labeler's hit rates and each combination's posterior; a logistic regression on the kind, the votes and the
+span's size and marks, fitted to the posteriors, is the final classifier, and candidates over one half are added
 where they don't overlap a base span or an earlier addition of their kind.
 
 Only DataFrame and SQL functions touch rows; the driver handles the bounded table of counts.
@@ -44,14 +44,21 @@ CANDIDATES = {
     "card": r"(?<![0-9])[0-9]{4}+(?:[./_\x20-]{1,2}[0-9]{4}+){3}(?![0-9])",
     "phone": r"(?<![0-9+])(?:00[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20./-][0-9]{3}[\x20./-][0-9]{4}(?![0-9])",
 }
+# What every loose address holds. More texts may pass: it only spares scanning the others.
+AT_WORD = r"[\[({]at[\])}]|\x20at\x20{1,2}[A-Za-z0-9-]+\x20{0,2}(?:\.|[\[(]?dot)"
 CONTEXT = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|address|reach)[^\n]{0,24}$",
     "ip": r"(?i)(?:\bip\b|host|server|address|login|node)[^\n]{0,24}$",
     "card": r"(?i)(?:card|visa|master|amex|credit|account|pay)[^\n]{0,24}$",
     "phone": r"(?i)(?:phone|tel|call|mobile|fax|cell|number)[^\n]{0,24}$",
 }
+# Endings of host names.
+ENDINGS = """
+com org net edu gov mil int info biz name io ai app dev co me tv cloud online site tech
+ar at au be br ca ch cl cn cz de dk es eu fi fr gr hk hu id ie il in it jp kr mx my nl no nz pl pt ro ru se sg th tr tw ua uk us za
+""".split()
 GAZETTEER = {
-    "email": r"(?i)\b(?:com|org|net|edu|gov|io|de|fr|es|uk)$",
+    "email": rf"(?i)\b(?:{"|".join(ENDINGS)})$",
     "ip": r"^(?:10|127|172|192)\D",
     "card": r"^(?:4|5[1-5]|3[47]|6011|65)",
     "phone": r"^(?:00|\(?[2-9][0-9]{2}\)?[\x20./-][2-9])",
@@ -123,7 +130,10 @@ def _votes(kind: str, text, m):
     vote = lambda yes, else_: F.when(yes, F.lit(1)).otherwise(F.lit(else_))
     valid = _holds(kind, F.regexp_replace(m["s"], r"[\[\]\x20]", "")) if kind == "ip" else (F.length(_digits(m["s"])) == 16) & _luhn(_digits(m["s"])) if kind == "card" else F.lit(True)
     form = F.when(~valid, F.lit(0)).otherwise(vote(m["s"].rlike(STRICT[kind]), -1))
-    return F.struct(form.alias("form"), vote(m["s"].rlike(GAZETTEER[kind]), 0 if kind in ("card", "phone") else -1).alias("known"), vote(before.rlike(CONTEXT[kind]), 0).alias("context"))
+    size = F.least(F.floor(F.length(m["s"]) / 8), F.lit(3)).cast("int")
+    marks = F.least(F.length(F.regexp_replace(m["s"], "[A-Za-z0-9]", "")), F.lit(3))
+    known = vote(m["s"].rlike(GAZETTEER[kind]), 0 if kind in ("card", "phone") else -1)
+    return F.struct(form.alias("form"), known.alias("known"), vote(before.rlike(CONTEXT[kind]), 0).alias("context"), size.alias("size"), marks.alias("marks"))
 
 
 def _candidates(text, kind: str, loose, base):
@@ -133,9 +143,10 @@ def _candidates(text, kind: str, loose, base):
 
 
 LABELERS = ("form", "known", "context")
+SHAPE = ("size", "marks")
 
 
-def estimate(counts: dict[tuple[str, tuple[int, int, int]], int], rounds: int = 50):
+def estimate(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50):
     """EM over counts of (kind, votes). Returns posteriors by (kind, votes) and hit rates by (kind, labeler).
 
     A labeler votes 1 on true spans with its sensitivity and 0 on false ones with its specificity;
@@ -151,7 +162,7 @@ def estimate(counts: dict[tuple[str, tuple[int, int, int]], int], rounds: int =
             p = {}
             for v in own:
                 a, b = math.log(share), math.log(1 - share)
-                for x, (sens, spec) in zip(v, rate, strict=True):
+                for x, (sens, spec) in zip(v[:3], rate, strict=True):
                     if x >= 0:
                         a += math.log(sens if x else 1 - sens)
                         b += math.log(1 - spec if x else spec)
@@ -170,11 +181,12 @@ def estimate(counts: dict[tuple[str, tuple[int, int, int]], int], rounds: int =
     return posterior, rates
 
 
-def _features(kind: str, v: tuple[int, int, int]) -> list[float]:
+def _features(kind: str, v: tuple[int, ...]) -> list[float]:
+    """Of the kind, the three votes, and the span's size (in steps of eight characters, at most 3) and marks (at most 3)."""
     x = [1.0] + [float(kind == k) for k in KINDS]
     for i in range(3):
         x += [float(v[i] == 1), float(v[i] == 0)]
-    return x
+    return x + [k / 3 for k in (v[3:] or (0, 0))]
 
 
 def train(counts: dict, posterior: dict, rounds: int = 400, rate: float = 1.0, decay: float = 1e-3) -> list[float]:
@@ -195,6 +207,8 @@ def _probability(w: list[float], kind: str, votes):
     z = F.lit(w[0] + w[1 + KINDS.index(kind)])
     for i, name in enumerate(LABELERS):
         z = z + F.when(votes[name] == 1, F.lit(w[5 + 2 * i])).when(votes[name] == 0, F.lit(w[6 + 2 * i])).otherwise(0.0)
+    for i, name in enumerate(SHAPE):
+        z = z + votes[name] * F.lit(w[11 + i] / 3)
     return 1 / (1 + F.exp(-z))
 
 
@@ -202,15 +216,15 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """(doc_id, base_<kind>, added_<kind>): arrays of struct(start, end) for each kind."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     t = F.col("text")
-    d = d.select("doc_id", "text", t.contains("@").alias("has_at"), t.contains("+").alias("has_plus"), t.rlike("[0-9]").alias("has_digit"), t.rlike(r"[\[({]at[\])}]|\x20at\x20[A-Za-z0-9-]+\x20?(?:\.|[\[({]?dot)").alias("has_at_word"))
+    d = d.select("doc_id", "text", t.contains("@").alias("has_at"), t.contains("+").alias("has_plus"), t.rlike("[0-9]").alias("has_digit"), t.rlike(AT_WORD).alias("has_at_word"))
     d = _scan(d, PATTERNS, NEEDS, "base")
     d = d.withColumns({f"base_{k}": _plain(_holding(k, F.col(f"base_{k}"))) for k in KINDS})
     d = _scan(d, CANDIDATES, LOOSE_NEEDS, "loose").withColumn("base", F.concat(*[f"base_{k}" for k in KINDS]))
     d = d.select("doc_id", *[f"base_{k}" for k in KINDS], *[_candidates(t, k, F.col(f"loose_{k}"), F.col("base")).alias(f"loose_{k}") for k in KINDS])
     d = common.materialize(d, "spans")
     votes = F.flatten(F.array(*[_kind_votes(k) for k in KINDS]))
-    rows = d.select(F.explode(votes).alias("x")).groupBy("x.kind", *[f"x.votes.{n}" for n in LABELERS]).count().collect()
-    counts = {(r["kind"], tuple(r[n] for n in LABELERS)): r["count"] for r in rows}  # 27 rows a kind at most
+    rows = d.select(F.explode(votes).alias("x")).groupBy("x.kind", *[f"x.votes.{n}" for n in LABELERS + SHAPE]).count().collect()
+    counts = {(r["kind"], tuple(r[n] for n in LABELERS + SHAPE)): r["count"] for r in rows}  # 27 x 16 rows a kind at most
     posterior, _ = estimate(counts)
     w = train(counts, posterior)
     return d.select("doc_id", *[f"base_{k}" for k in KINDS], *[_accepted(w, k).alias(f"added_{k}") for k in KINDS])
