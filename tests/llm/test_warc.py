@@ -49,6 +49,18 @@ def test_ranges_own_what_starts_inside():
         assert got == starts, step
 
 
+def test_damaged_records_are_reported():
+    make = lambda k, n: warc.member(warc.record("response", k, "u", random.Random(k).randbytes(n), "00" * 20, None))
+    parts = [make(0, 400), make(1, 200_000), make(2, 400)]
+    data = bytearray(b"".join(parts))
+    for k in range(100):
+        data[len(parts[0]) + 150_000 + k] ^= 0xFF
+    got = [(at, f["warc-type"]) for at, f, _ in warc.records(io.BytesIO(bytes(data)), 0, len(data), len(data))]
+    assert got == [(0, "response"), (len(parts[0]), "damaged"), (len(parts[0]) + len(parts[1]), "response")]
+    cut = b"".join(parts)[:-30]
+    assert [f["warc-type"] for _, f, _ in warc.records(io.BytesIO(cut), 0, len(cut), len(cut))][:2] == ["response", "response"]
+
+
 def test_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(warc.write(pages, f"file://{tmp_path}/w")).count() == 0

@@ -13,7 +13,7 @@ Archives are opened by Python tasks through pyarrow's file systems, which take t
 
 Defined cases: a null payload is empty; a null id is written as an empty page id and read back as
 null, and is the largest of none; equal ids are all written; empty payloads and those under MIN_BYTES are
-responses; no rows give no archives and no records.
+responses; no rows give no archives and no records; a cut or corrupt record is read as a row of type "damaged".
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ MIN_BYTES = 1000
 RANGE_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 HEAD_BYTES = 1 << 16
+MOST_TASKS = 20_000
+MOST_BROADCAST = 200_000
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -66,6 +68,9 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload")).withColumn("digest", F.sha1("payload"))
     long = F.octet_length("payload") >= min_bytes
     first = rows.where(long).groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = common.materialize(first, "repeated")
+    if first.count() <= MOST_BROADCAST:  # of some 80 bytes each; payloads are then not shuffled
+        first = F.broadcast(first)
     rows = rows.join(first, "digest", "left").withColumn("kind", F.when((F.col("response_id") != F.col("page_id")) | (F.col("response_id").isNotNull() & F.col("page_id").isNull()), "revisit").otherwise("response"))
 
     def run(batches):
@@ -90,7 +95,7 @@ class _Source:
     """Bytes of a file from an offset on, fetched in pieces."""
 
     def __init__(self, handle, at: int, size: int):
-        self.handle, self.start, self.size, self.data = handle, at, size, b""
+        self.handle, self.start, self.size, self.data = handle, at, size, bytearray()
 
     def ensure(self, end: int) -> None:
         while self.start + len(self.data) < min(end, self.size):
@@ -98,7 +103,8 @@ class _Source:
             self.data += self.handle.read(max(1 << 20, min(end, self.size) - self.start - len(self.data)))
 
     def forget(self, at: int) -> None:
-        self.data, self.start = self.data[at - self.start :], at
+        del self.data[: at - self.start]
+        self.start = at
 
 
 def _inflate(src: _Source, at: int, most: int | None) -> tuple[bytes, int] | None:
@@ -107,7 +113,7 @@ def _inflate(src: _Source, at: int, most: int | None) -> tuple[bytes, int] | Non
     out, pos, got = [], at, 0
     while not z.eof:
         src.ensure(pos + (1 << 16))
-        piece = src.data[pos - src.start : pos - src.start + (1 << 16)]
+        piece = bytes(src.data[pos - src.start : pos - src.start + (1 << 16)])
         if not piece:
             return None
         try:
@@ -140,7 +146,10 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes] | None:
 
 
 def records(handle, start: int, end: int, size: int):
-    """(offset, fields, block) of the records whose members start in [start, end)."""
+    """(offset, fields, block) of the records whose members start in [start, end).
+
+    A member that begins like a record but is cut or corrupt gives one of type "damaged", and the search goes on behind its start.
+    """
     src = _Source(handle, start, size)
     at, known = start, False
     while at < end:
@@ -163,6 +172,8 @@ def records(handle, start: int, end: int, size: int):
         got = _inflate(src, at, None)
         found = got and parse(got[0])
         if not found:
+            if known or _inflate(src, at, HEAD_BYTES) is not None:
+                yield at, {"warc-type": "damaged"}, b""
             at, known = at + 1, False
             continue
         yield at, *found
@@ -193,8 +204,8 @@ def read(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                     for at, f, block in records(handle, r["start"], r["start"] + range_bytes, r["size"]):
                         head, _, body = block.partition(b"\r\n\r\n")
                         length = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
-                        digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        yield r["path"], at, f["warc-type"], number(f["warc-record-id"]), number(f.get("warc-refers-to", "")), digest, length, body
+                        digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex() if "warc-payload-digest" in f else None
+                        yield r["path"], at, f["warc-type"], number(f.get("warc-record-id", "")), number(f.get("warc-refers-to", "")), digest, length, body
 
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
@@ -210,7 +221,8 @@ def read(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types, strict=True)], names=names)
 
-    return ranges.repartition("path", "start").mapInArrow(run, schema)
+    n = archives.select(F.sum(F.ceil(F.col("size") / range_bytes))).first()[0] or 1
+    return ranges.repartition(min(int(n), MOST_TASKS)).mapInArrow(run, schema)  # by number: adaptive execution must not merge tiny rows that stand for much work
 
 
 def op4_warc(spark, sf_dir):
