@@ -7,7 +7,10 @@ energy rises over the upper threshold open a segment and those that fall under t
 it (hysteresis); the thresholds lie between the quiet and loud levels of the sound itself. Each segment is cut into
 patches of PATCH frames by MELS bands, the last padded, with its time span: a fixed-shape tensor.
 
-Work goes through a sound in blocks of FRAMES_AT_ONCE frames, so memory doesn't grow with its length.
+The tensors of a sound are stored as an Arrow stream of fixed-shape tensors, with their spans.
+
+Resampling and spectra go through a sound in blocks of FRAMES_AT_ONCE frames; what is held of a whole sound
+are its frames' energies and its patches, each some 1.2 bytes a sample.
 
 Defined cases: a null text is the empty payload; a payload is padded with zero bytes up to a positive
 multiple of 64, so there is always a sound; a constant sound has one level and is a single segment;
@@ -21,6 +24,7 @@ import io
 import struct
 import wave
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ from pyspark.sql import types as T
 from . import common
 
 RATE = 16_000
-UP, DOWN = 1, 2
+UP, DOWN = 3, 4
 TAPS = 16
 WIN, HOP, FFT, MELS = 200, 80, 256, 32
 PATCH = 64
@@ -78,11 +82,11 @@ def resampled(x: np.ndarray, first: int, count: int, phases: np.ndarray, up: int
     a, b = max(lo, 0), min(hi, len(x))
     if b > a:
         part[a - lo : b - lo] = x[a:b]
-    if up == 1:
-        view = np.lib.stride_tricks.sliding_window_view(part, taps)[::down][:count]
-        return view @ phases[0]
-    view = np.lib.stride_tricks.sliding_window_view(part, taps)[base - lo]
-    return (view * phases[pos % up]).sum(1)
+    out = np.empty(count)
+    view = np.lib.stride_tricks.sliding_window_view(part, taps) if count else None
+    for k in range(min(up, count)):  # outputs of one phase lie `down` inputs apart
+        out[k::up] = view[int(base[k]) - lo :: down][: len(out[k::up])] @ phases[int(pos[k]) % up]
+    return out
 
 
 def mel_bank(rate: float, fft: int = FFT, mels: int = MELS) -> np.ndarray:
@@ -107,12 +111,12 @@ def log_mels(samples: bytes):
     for f in range(0, frames, FRAMES_AT_ONCE):
         n = min(FRAMES_AT_ONCE, frames - f)
         first, count = f * HOP, (n - 1) * HOP + WIN
-        a = max(0, first * DOWN // UP - TAPS)
+        a = max(0, first * DOWN // UP - TAPS) // DOWN * DOWN  # where an output sample falls on an input sample
         b = min(len(raw), (first + count) * DOWN // UP + TAPS)
         x = raw[a:b].astype(np.float64)
         x -= 128
         x /= 128
-        y = resampled(x, first - a * UP // DOWN if a else first, count, _PHASES) if a % DOWN == 0 else resampled(raw.astype(np.float64) / 128 - 1, first, count, _PHASES)
+        y = resampled(x, first - a // DOWN * UP, count, _PHASES)
         view = np.lib.stride_tricks.sliding_window_view(y, WIN)[::HOP] * _HANN
         power = np.abs(np.fft.rfft(view, FFT)) ** 2
         yield np.log(power @ _BANK + 1e-6).astype(np.float32)
@@ -183,29 +187,63 @@ def as_tensors(table: pa.Table) -> pa.FixedShapeTensorArray:
     """Values of tensors() rows as Arrow tensors of shape (PATCH, MELS)."""
     flat = table["values"].combine_chunks()
     flat = flat.flatten() if isinstance(flat, (pa.ListArray, pa.LargeListArray)) else flat
-    kind = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS), dim_names=["frame", "mel"])
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat.cast(pa.float32()), PATCH * MELS))
+    return pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(flat.cast(pa.float32()), PATCH * MELS))
+
+
+def tensor_type() -> pa.DataType:
+    return pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS), dim_names=["frame", "mel"])
+
+
+def pack(mel: np.ndarray, segments: list[tuple[int, int]], at_once: int = 64) -> bytes:
+    """An Arrow stream of (start_s, end_s, patch): every patch as a tensor of shape (PATCH, MELS) with its time span."""
+    schema = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("patch", tensor_type())])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        rows = patches(mel, segments)
+        while own := list(islice(rows, at_once)):
+            flat = pa.array(np.concatenate([v.ravel() for *_, v in own]))
+            tensor = pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(flat, PATCH * MELS))
+            out.write_batch(pa.RecordBatch.from_arrays([pa.array([seconds(a) for a, *_ in own]), pa.array([seconds(b) for _, b, _ in own]), tensor], schema=schema))
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(stored: bytes) -> pa.Table:
+    with pa.ipc.open_stream(stored) as got:
+        return got.read_all()
+
+
+def stored(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with n_bytes, media and tensors: the WAV of each text's payload, and the packed features of what the WAV holds."""
+
+    def work(batch):
+        return [pa.array([pack(*features(from_wav(m)[0])) for m in batch.column("media").to_pylist()], pa.binary())]
+
+    return common.append_arrow(encode(docs, text), work, [T.StructField("tensors", T.BinaryType())])
 
 
-def digest(mel: np.ndarray, segments: list[tuple[int, int]]) -> str:
-    """Frames, segments, patches, active seconds, and mean and spread of each eighth of the bands."""
-    n = sum(-(-(b - a) // PATCH) for a, b in segments)
-    bands = mel.astype(np.float64).reshape(len(mel), 8, MELS // 8).mean(2)
-    stats = ",".join(f"{m:.3f}/{s:.3f}" for m, s in zip(bands.mean(0), bands.std(0), strict=True))
-    return f"frames={len(mel)};segments={len(segments)};patches={n};active_s={sum(seconds(b - a) for a, b in segments):.3f};bands={stats}"
+def digest(table: pa.Table) -> str:
+    """Segments, patches, active seconds, mean and spread of each eighth of the bands over active frames, and a CRC of all values."""
+    start, end = (table[c].to_numpy() for c in ("start_s", "end_s"))
+    values = np.concatenate([c.to_numpy_ndarray() for c in table["patch"].chunks]) if len(table) else np.empty((0, PATCH, MELS), np.float32)
+    frames = np.rint((end - start) / seconds(1)).astype(np.int64)
+    real = values[np.arange(PATCH) < frames[:, None]].astype(np.float64)
+    bands = real.reshape(len(real), 8, MELS // 8).mean(2)
+    stats = ",".join(f"{m:.3f}/{s:.3f}" for m, s in zip(bands.mean(0), bands.std(0), strict=True)) if len(real) else ""
+    segments = len(table) and 1 + int((start[1:] != end[:-1]).sum())
+    return f"segments={segments};patches={len(table)};active_s={float((end - start).sum()):.3f};bands={stats};crc32={zlib.crc32(np.round(values, 2).astype('<f4').tobytes()):08x}"
 
 
 def op10_audio(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    media = encode(docs).drop("text")
+    media = stored(docs).drop("text")
     fields = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for m in batch.column("media").to_pylist():
+            for m, t in zip(batch.column("media").to_pylist(), batch.column("tensors").to_pylist(), strict=True):
                 samples, _ = from_wav(m)
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(m), hashlib.sha256(m).hexdigest(), digest(*features(samples))))
+                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(m), hashlib.sha256(m).hexdigest(), digest(unpack(t))))
             cols = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *cols], names=["doc_id", "n_bytes", *[n for n, _ in fields]])
 
