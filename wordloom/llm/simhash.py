@@ -17,6 +17,8 @@ Copies collapse first: only distinct fingerprints take part. Balls, meeting and
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,6 +31,7 @@ from . import common
 from .components import components
 
 RADIUS = 3
+PASSES = 4
 CHUNK = 200_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -98,19 +101,28 @@ def _masks(radius: int) -> tuple[list[int], list[int]]:
     return {0: ([0], []), 1: ([0], ones), 2: ([0, *ones], []), 3: ([0, *ones], twos)}[radius]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, variants_a_task: int = 4_000_000) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp), enough to connect all within the radius."""
+def links(fps: DataFrame, radius: int = RADIUS, variants_a_task: int = 4_000_000, passes: int = PASSES) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp), enough to connect all within the radius; written.
+
+    Variants are dealt over passes by their hash, so that no more than a pass's share of them is on disk at a time.
+    """
     if not 0 <= radius <= 3:
         raise ValueError("a radius from 0 to 3 is expected")
     near, far = _masks(radius)
-    tasks = -(-fps.count() * (len(near) + len(far)) // variants_a_task)
+    tasks = -(-fps.count() * (len(near) + len(far)) // variants_a_task // passes)
     own = fps.select("fp").repartition(min(max(1, tasks), 20_000))  # a few bytes a row become many rows
     mask = F.when(F.bit_count("fp") % 2 == 1, F.lit([*near, *far])).otherwise(F.lit(near))
-    met = own.select("fp", F.explode(mask).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
+    every = own.select("fp", F.explode(mask).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
     distance = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
     centre = F.min(F.when(distance("fp", "variant") <= radius // 2, F.col("fp"))).over(W.partitionBy("variant"))
-    met = met.withColumn("centre", centre).where((F.col("fp") != F.col("centre")) & (distance("fp", "centre") <= radius))
-    return met.select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
+    tables = common.Scratch(fps.sparkSession)
+    found = []
+    for k in range(passes):
+        met = every.where(F.pmod(F.xxhash64("variant"), F.lit(passes)) == k).withColumn("centre", centre)
+        met = met.where((F.col("fp") != F.col("centre")) & (distance("fp", "centre") <= radius))
+        found.append(tables.write(met.select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct(), "links"))
+        tables.drop()
+    return reduce(DataFrame.union, found)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -123,13 +135,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = common.materialize(own, "fingerprints")
     tables = common.Scratch(docs.sparkSession)
     fps = tables.write(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    edges = tables.write(links(fps.select("fp"), radius), "links")
-    tables.drop()
-    root = components(edges)
+    root = components(links(fps.select("fp"), radius))
     member = fps.join(root, fps.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     known = common.materialize(member.join(named, "root").select("fp", "root", "component_id"), "known")
-    tables.drop("distinct", "links")
+    tables.drop("distinct")
     return own.join(known, "fp").select("doc_id", "fp", "root", "component_id")
 
 
