@@ -167,10 +167,10 @@ def learn_rows(stats: DataFrame, labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """docs with stats and score; learns from those of its rows that have labels outside the held-out fold.
 
-    Statistics are computed once and written; with the text column dropped first if the caller needs no text.
+    Nothing is written: labelled rows have their statistics computed for the fit, and all rows for their scores.
     """
-    known = common.materialize(with_statistics(docs, text), "stats")
-    return with_scores(known, fit(learn_rows(known.select("doc_id", "stats"), labels)))
+    known = learn_rows(docs.select("doc_id", F.col(text).alias("stats")), labels).withColumnRenamed("stats", "text")
+    return with_scores(with_statistics(docs, text), fit(with_statistics(known)))
 
 
 def op7_quality(spark, sf_dir):
