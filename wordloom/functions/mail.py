@@ -23,6 +23,7 @@ from .markup import clean, decode_entities
 MEDIA = {"body": 1, "subject": 2, "from": 3, "to": 4, "header": 5, "trace": 6, "mime": 7, "html": 8, "attachment": 9, "xheader": 10}
 STANDARD = ("from", "to", "message-id", "in-reply-to", "subject")
 TRACE = ("return-path", "received")
+DATED = ("date", "path", "posted", "expires", "received", "resent-date", "delivery-date")  # left out even where all headers are asked for
 EXTENDED = ("sender", "reply-to", "bcc", "cc", "references")
 OPTIONS = ("plain", "noplain", "headers", "noheaders", "theaders", "xheaders", "atts", "links", "alt", "forms", "scripts", "styles", "comments")
 
@@ -87,6 +88,12 @@ def _header_lines(headers: list[tuple[str, str]], opts: frozenset[str]):
             if name == "subject":
                 yield value, MEDIA["body"]
             continue
+        if "xheaders" in opts:
+            if name in TRACE and "theaders" in opts:
+                yield f"{name}: {value.split(';')[0]}", MEDIA["trace"]
+            elif name not in DATED:
+                yield f"{name}: {value}", MEDIA.get(name, MEDIA["header"] if name in STANDARD + EXTENDED + TRACE else MEDIA["mime"] if name.startswith("content-") else MEDIA["xheader"])
+            continue
         if name in STANDARD:
             yield f"{name}: {value}", MEDIA.get(name, MEDIA["header"])
         elif name in TRACE:
@@ -98,8 +105,6 @@ def _header_lines(headers: list[tuple[str, str]], opts: frozenset[str]):
         elif name in EXTENDED:
             if "headers" in opts:
                 yield f"{name}: {value}", MEDIA["header"]
-        elif "xheaders" in opts:
-            yield f"{name}: {value}", MEDIA["xheader"]
 
 
 def _without_armour(text: str) -> list[str]:
@@ -123,46 +128,76 @@ def _without_armour(text: str) -> list[str]:
     return out
 
 
-def _body(headers: list[tuple[str, str]], body: str, opts: frozenset[str], depth: int):
+class _Nested(str):
+    """A message or part within another one, still to be read."""
+
+
+_MIME_LINE = re.compile(r"content-(?:type|transfer-encoding|disposition|id|description|location|base|length)\s*:", re.I)
+_DASHES = re.compile(r"(?m)^(?:-{30}|-{70})\r?$\n?")
+
+
+def _recovered(body: str, opts: frozenset[str]) -> tuple[str, str]:
+    """The body up to a part that isn't announced by its boundary, and that part.
+
+    A Content- line after an empty line begins one. So does one in the five lines after a line of two dashes that follows
+    an empty line, unless everything is read as plain text: such a line may be a damaged boundary.
+    """
+    empty, check, at = False, 0, 0
+    for line in body.splitlines(keepends=True):
+        if empty and line.startswith("--") and not line.startswith("-----BEGIN ") and "plain" not in opts:
+            check = 5
+        elif (empty or check > 0) and _MIME_LINE.match(line):
+            return body[:at], body[at:]
+        elif not empty and check > 0:
+            check -= 1
+        empty = not line.strip()
+        at += len(line)
+    return body, ""
+
+
+def _body(headers: list[tuple[str, str]], body: str, opts: frozenset[str]):
     fields = dict(reversed(headers))
     kind = fields.get("content-type", "text/plain").lower()
     encoding = fields.get("content-transfer-encoding", "7bit").lower().strip()
     boundary = re.search(r"boundary\s*=\s*(?:\"([^\"]{1,70})\"|([^\s;]{1,70}))", fields.get("content-type", ""), re.I)
-    if kind.startswith("multipart/") and boundary and depth < 8:
+    if kind.startswith("multipart/") and boundary:
         mark = boundary.group(1) or boundary.group(2)
         parts = re.split(rf"(?m)^--{re.escape(mark)}(?:--)?[ \t]*\r?$\n?", body)
-        for x in parts[0].split("\n"):
+        first, lost = _recovered(parts[0], opts) if len(parts) == 1 else (parts[0], "")
+        for x in first.split("\n"):
             if x.strip():
                 yield plain_line(x.rstrip("\r")), MEDIA["body"]
-        for part in parts[1:]:
-            yield from message_lines(part, opts, depth + 1)
+        yield from map(_Nested, [lost, *parts[1:]])
         return
-    if kind.startswith("message/rfc822") and depth < 8:
-        yield from message_lines(body, opts, depth + 1)
+    if kind.startswith("message/rfc822"):
+        yield _Nested(body)
         return
+    body, lost = _recovered(body, opts) if headers else (body, "")
+    digest: list[str] = []
+    if kind.startswith("text/plain") and headers:
+        body, *digest = _DASHES.split(body)
     if encoding == "base64":
         body = _text(base64_lenient(body))
     elif encoding == "quoted-printable":
         body = _text(quoted_printable(body))
     if kind.startswith(("image/", "audio/", "video/", "model/")):
-        return
-    if kind.startswith("application/"):
-        if "atts" in opts:
-            for x in re.findall(r"[ -~]{4,}", body):
-                yield x, MEDIA["attachment"]
-        return
-    if kind.startswith("text/html") and "plain" not in opts:
+        pass
+    elif kind.startswith("application/"):
+        for x in re.findall(r"[ -~]{4,}", body) if "atts" in opts else ():
+            yield x, MEDIA["attachment"]
+    elif kind.startswith("text/html") and "plain" not in opts:
         for x in clean(body, opts).split("\n"):
             yield x.rstrip("\r"), MEDIA["html"]
-        return
-    for x in _without_armour(body):
-        yield plain_line(x), MEDIA["body"]
+    else:
+        if "noplain" in opts:  # plain text may hold markup too
+            body = re.sub(r"<[^>]*>", "", body)
+        for x in _without_armour(body):
+            yield plain_line(x), MEDIA["body"]
+    yield from (_Nested(x.lstrip("\n")) for x in digest)
+    yield _Nested(lost)
 
 
-def message_lines(raw: str | None, opts: frozenset[str] = frozenset(), depth: int = 0):
-    """(line, medium) of a message. Null and empty messages have no lines."""
-    if not raw:
-        return
+def _one(raw: str, opts: frozenset[str]):
     raw = raw.replace("\r\n", "\n")
     head, sep, body = raw.partition("\n\n")
     lines = head.split("\n")
@@ -174,7 +209,20 @@ def message_lines(raw: str | None, opts: frozenset[str] = frozenset(), depth: in
     if raw.startswith("\n"):
         headers, body = [], raw[1:]
     yield from _header_lines(headers, opts)
-    yield from _body(headers, body, opts, depth)
+    yield from _body(headers, body, opts)
+
+
+def message_lines(raw: str | None, opts: frozenset[str] = frozenset()):
+    """(line, medium) of a message, with those of its parts however deep. Null and empty messages have no lines."""
+    open_ = [_one(raw, opts)] if raw else []
+    while open_:
+        x = next(open_[-1], None)
+        if x is None:
+            open_.pop()
+        elif not isinstance(x, _Nested):
+            yield x
+        elif x:
+            open_.append(_one(str(x), opts))
 
 
 LINES = T.ArrayType(T.StructType([T.StructField("line", T.StringType()), T.StructField("cls", T.IntegerType())]))

@@ -66,14 +66,14 @@ def lines(text: Column) -> Column:
 
 def closed_tokens(line: Column, tokenizer: str = "alpha", case_sensitive: bool = False) -> Column:
     """Tokens of a line, with an empty one at the end if other characters follow the last token."""
-    t = tokens(line, tokenizer, case_sensitive)
     if tokenizer == "char":
-        return F.when(F.size(t) > 0, F.concat(t, F.array(F.lit("")))).otherwise(t)
-    if tokenizer in RULES:
+        open_end = F.lit(True)
+    elif tokenizer in RULES:
         open_end = (F.length(line) > 0) & ~line.rlike(rf"(?:{RULES[tokenizer]})\z")
-        return F.when((F.size(t) > 0) & open_end, F.concat(t, F.array(F.lit("")))).otherwise(t)
-    open_end = (line if case_sensitive else fold(line)).rlike(f"[^{char_class(tokenizer, case_sensitive)}]\\z")
-    return F.when((F.size(t) > 0) & open_end, F.concat(t, F.array(F.lit("")))).otherwise(t)
+    else:
+        open_end = (line if case_sensitive else fold(line)).rlike(f"[^{char_class(tokenizer, case_sensitive)}]\\z")
+    closed = lambda t: F.when((F.size(t) > 0) & open_end, F.concat(t, F.array(F.lit("")))).otherwise(t)
+    return F.transform(F.array(tokens(line, tokenizer, case_sensitive)), closed)[0]  # as a parameter, so that tokens are found once
 
 
 def grams(toks: Column, order: int) -> Column:
@@ -104,6 +104,21 @@ def matches(line: Column, pattern: str, groups: list[int], case_sensitive: bool
     return out if case_sensitive else F.transform(out, fold)
 
 
+def all_matches(line: Column, patterns: list[tuple[str, list[int]]], case_sensitive: bool = False) -> Column:
+    """Grams of several patterns, one pattern after the other."""
+    return F.flatten(F.array(*[matches(line, p, groups, case_sensitive) for p, groups in patterns]))
+
+
+def default_tokenizer(form: str) -> str:
+    """For mail adp, for all else alpha."""
+    return "adp" if form == "email" else "alpha"
+
+
+def is_binary(line: Column) -> Column:
+    """Whether a line holds control characters other than white space."""
+    return F.coalesce(line.rlike(r"[\x00-\x08\x0E-\x1A\x1C-\x1F\x7F]"), F.lit(False))
+
+
 def indented(lines_: Column) -> Column:
     """Of an array of lines those that begin with a space, without it."""
     return F.transform(F.filter(lines_, lambda x: x.startswith(" ")), lambda x: F.substring(x, 2, 1 << 30))

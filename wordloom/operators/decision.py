@@ -165,12 +165,52 @@ def log_value(f, complexity: Column, captures: list[Column]) -> Column:
     return F.when(a == NEVER, F.lit(NEVER)).otherwise(a * F.exp(b))  # ^
 
 
-def decide(scores: DataFrame, spec: Spec, texts: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def decide(scores: DataFrame, spec: Spec, texts: DataFrame | None = None, key: str = "doc_id", text: str = "text", bits: bool = False) -> DataFrame:
     """(key, category, risk, log_risks): the category of least expected loss of every document.
 
     scores: (key, model, score, complexity) for the models named as the categories. texts is needed
     where rows have patterns. Expected losses are compared by their largest terms, then the next ones.
+    bits: scores are taken in bits, as printed scores are, and no factor brings them to the losses' natural logarithms.
     """
+    d, terms = _terms(scores, spec, texts, key, text, bits, False)
+    cats = spec.categories
+    d = d.withColumn("terms", F.transform(F.array(*[F.array(*t) for t in terms]), lambda t: F.reverse(F.array_sort(t))))
+    risk = F.transform("terms", lambda t: F.when(t[0] == NEVER, F.lit(NEVER)).otherwise(t[0] + F.log(F.aggregate(t, F.lit(0.0), lambda a, v: a + F.exp(v - t[0])))))
+    d = d.withColumn("log_risks", risk)
+    order = F.array_min(F.transform("terms", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    names = F.array(*[F.lit(c) for c in cats])
+    d = d.withColumn("at", order["i"])
+    return d.select(key, F.element_at(names, F.col("at") + 1).alias("category"), F.element_at("log_risks", F.col("at") + 1).alias("risk"), "log_risks")
+
+
+def recursive(scores: DataFrame, spec: Spec, texts: DataFrame | None = None, key: str = "doc_id", text: str = "text", bits: bool = False) -> DataFrame:
+    """(key, place, category, score): all categories, each the best of those that the ones before it leave.
+
+    A category that is taken out counts neither as a decision nor as a truth. Deciding rightly costs a loss of 1
+    at least, so that the last category has a score: the largest term of its expected loss.
+    """
+    d, terms = _terms(scores, spec, texts, key, text, bits, True)
+    names = F.array(*[F.lit(c) for c in spec.categories])
+    d = d.select(key, F.array(*[F.array(*t) for t in terms]).alias("terms"), F.expr("cast(array() as array<int>)").alias("gone"), F.expr("cast(array() as array<double>)").alias("found"))
+    for _ in spec.categories:
+        d = d.select(key, "terms", "gone", "found", _best_left().alias("x"))
+        d = d.select(key, "terms", F.concat("gone", F.array("x.i")).alias("gone"), F.concat("found", F.array(F.col("x.t")[0])).alias("found"))
+    return d.select(key, F.posexplode(F.arrays_zip("gone", "found")).alias("place", "x")).select(key, "place", F.element_at(names, F.col("x.gone") + 1).alias("category"), F.col("x.found").alias("score"))
+
+
+def _best_left():
+    """struct(t, i) of the least decision of those not in gone, by its terms in falling order."""
+    left = lambda i: ~F.array_contains("gone", i)
+
+    def one(t, i):
+        own = F.reverse(F.array_sort(F.filter(t, lambda v, j: left(j))))
+        return F.when(left(i), F.struct(own.alias("t"), i.alias("i")))
+
+    return F.array_min(F.filter(F.transform("terms", one), lambda x: x.isNotNull()))
+
+
+def _terms(scores: DataFrame, spec: Spec, texts: DataFrame | None, key: str, text: str, bits: bool, right_costs: bool):
+    """The documents, and for each decision the log terms of its expected loss, one for each truth."""
     cats = spec.categories
     per = scores.where(F.col("model").isin(*cats)).groupBy(key).agg(*[F.max(F.when(F.col("model") == c, F.col(v))).alias(f"{v}_{k}") for k, c in enumerate(cats) for v in ("score", "complexity")])
     if texts is not None:
@@ -192,17 +232,17 @@ def decide(scores: DataFrame, spec: Spec, texts: DataFrame | None = None, key: s
     for k, row in enumerate(loss):
         d = d.withColumn(f"loss_{k}", row)
     total = sum(spec.prior)
-    terms = []
-    for i in range(len(cats)):
-        t = [F.when(F.col(f"loss_{j}")[i] == NEVER, F.lit(NEVER)).otherwise(F.col(f"score_{j}") + math.log(spec.prior[j] / total) + F.col(f"loss_{j}")[i]) if spec.prior[j] > 0 else F.lit(NEVER) for j in range(len(cats))]
-        terms.append(F.reverse(F.array_sort(F.array(*t))))
-    d = d.withColumn("terms", F.array(*terms))
-    risk = F.transform("terms", lambda t: F.when(t[0] == NEVER, F.lit(NEVER)).otherwise(t[0] + F.log(F.aggregate(t, F.lit(0.0), lambda a, v: a + F.exp(v - t[0])))))
-    d = d.withColumn("log_risks", risk)
-    order = F.array_min(F.transform("terms", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-    names = F.array(*[F.lit(c) for c in cats])
-    d = d.withColumn("at", order["i"])
-    return d.select(key, F.element_at(names, F.col("at") + 1).alias("category"), F.element_at("log_risks", F.col("at") + 1).alias("risk"), "log_risks")
+    unit = 1 / math.log(2) if bits else 1.0
+
+    def term(i: int, j: int):
+        if spec.prior[j] <= 0:
+            return F.lit(NEVER)
+        x = F.col(f"loss_{j}")[i]
+        if right_costs and i == j:
+            x = F.when(x == NEVER, F.lit(0.0)).otherwise(x)
+        return F.when(x == NEVER, F.lit(NEVER)).otherwise(F.col(f"score_{j}") * unit + math.log(spec.prior[j] / total) + x)
+
+    return d, [[term(i, j) for j in range(len(cats))] for i in range(len(cats))]
 
 
 def disparity(scores: DataFrame, key: str = "doc_id", share: float = 0.9) -> DataFrame:

@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import score
 
-def rank_scores(scores: DataFrame, tokens_per_doc: float = 100.0) -> DataFrame:
-    """scores of one model with s0 (description length with its length's Poisson cost), s1 (mean), s2 (divergence)."""
+
+def rank_scores(scores: DataFrame, tokens_per_doc: float = 100.0, law: DataFrame | None = None) -> DataFrame:
+    """scores of one model with s0 (description length with its length's Poisson cost), s1 (mean), s2 (divergence).
+
+    law: (model, alpha, beta) of fit.gamma_law gives s3, the divergence's p-value in hundredths too.
+    """
     n = F.col("complexity").cast("int")
     ln_factorial = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda a, k: a + F.log(k))
     poisson = n * math.log(tokens_per_doc) - tokens_per_doc - ln_factorial
+    if law is not None:
+        scores = score.p_value(scores, law).withColumn("s3", F.floor(F.col("p_value") / 10)).drop("p_value")
     return scores.withColumn("s0", -F.col("score") - poisson).withColumn("s1", -F.col("score") / F.col("complexity")).withColumn("s2", F.col("div"))
 
 
@@ -24,6 +31,23 @@ def ranked(scored: DataFrame, by: str = "s1", reverse: bool = False, k: int | No
     return out.limit(k) if k else out
 
 
+def describe(mails: DataFrame, raw: str = "raw") -> DataFrame:
+    """mails with description: the sender's first 20 characters in brackets, and 60 of the subject; blanks for line breaks."""
+    field = lambda name: F.trim(F.regexp_replace(F.regexp_extract(F.split(F.regexp_replace(raw, "\r\n", "\n"), "\n\n", 2)[0], rf"(?im)^{name}:((?:[^\n]|\n[ \t])*)", 1), r"\s+", " "))
+    return mails.withColumn("description", F.concat(F.lit("["), F.substring(field("From"), 1, 20), F.lit("] "), F.substring(field("Subject"), 1, 60)))
+
+
+def tagged(docs: DataFrame, chosen: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with tagged: whether the row's key is among those chosen."""
+    own = chosen.select(F.col(key).alias("__key")).distinct().withColumn("__tag", F.lit(True))
+    return docs.join(own, F.col(key) == F.col("__key"), "left").withColumn("tagged", F.coalesce("__tag", F.lit(False))).drop("__key", "__tag")
+
+
+def categorize(docs: DataFrame, best: DataFrame, path: str, key: str = "doc_id") -> None:
+    """Write each document to the folder of its best model."""
+    docs.join(best.select(key, "best"), key).write.partitionBy("best").mode("append").parquet(path)
+
+
 def marked(docs: DataFrame, rules: list[tuple[bool, str]], text: str = "text", case_sensitive: bool = False) -> DataFrame:
     """docs with `limited`: whether the last rule (include, pattern) that a line matches includes it; all are, before any rule that includes."""
     flag = F.lit(not any(inc for inc, _ in rules))
@@ -57,8 +81,8 @@ def accuracy(predictions: DataFrame, true: str = "truth", predicted: str = "best
     return predictions.agg(F.count("*").alias("n"), (100.0 * F.avg((F.col(true) == F.col(predicted)).cast("double"))).alias("correct"))
 
 
-def review(predictions: DataFrame, truth: str, predicted: str) -> DataFrame:
-    return predictions.where((F.col("truth") == truth) & (F.col("best") == predicted))
+def review(predictions: DataFrame, truth: str, predicted: str, true: str = "truth", best: str = "best") -> DataFrame:
+    return predictions.where((F.col(true) == truth) & (F.col(best) == predicted))
 
 
 def biplot(scores: DataFrame, a: str, b: str, key: str = "doc_id") -> DataFrame:

@@ -28,12 +28,14 @@ def gram_rows(docs: DataFrame, order: int, tokenizer: str = "alpha", text: str =
         d = docs.select(*rest, toks.alias("toks"))
     else:
         d = line_rows(docs, text).select(*rest, tx.closed_tokens(F.col("line"), tokenizer, case_sensitive).alias("toks"))
-    return d.where(F.size("toks") > 0).select(*rest, F.explode(tx.grams(F.col("toks"), order)).alias("g")).select(*rest, "g.ord", "g.gram")
+    grams = F.flatten(F.transform(F.array("toks"), lambda t: tx.grams(t, order)))  # as a parameter, so that tokens are found once
+    return d.select(*rest, F.explode(grams).alias("g")).select(*rest, "g.ord", "g.gram")
 
 
 def counts(grams: DataFrame, *by: str) -> DataFrame:
-    """Feature counts: partial sums before the shuffle, so a frequent token costs a task one row."""
-    return grams.groupBy(*by, "ord", "gram").agg(F.count("*").alias("cnt"))
+    """Feature counts (by cls too, if the rows have it): partial sums before the shuffle, so a frequent token costs a task one row."""
+    cls = ["cls"] if "cls" in grams.columns and "cls" not in by else []
+    return grams.groupBy(*by, *cls, "ord", "gram").agg(F.count("*").alias("cnt"))
 
 
 def merge(*tables: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -31,10 +32,10 @@ def _suffix_weights(current: DataFrame, fitted: DataFrame, order: int) -> DataFr
     """current with ltrms, the summed weights of the proper suffixes of each gram."""
     cut = lambda k: F.array_join(F.slice(F.split("gram", " ", -1), -k, k), " ")
     suffixes = F.array(*[F.struct(F.lit(k).alias("so"), cut(k).alias("sg")) for k in range(1, order)])
-    rows = current.select("model", "gram", F.explode(suffixes).alias("x")).select("model", "gram", "x.so", "x.sg")
-    known = fitted.select("model", F.col("ord").alias("so"), F.col("gram").alias("sg"), "lam")
-    sums = rows.join(known, ["model", "so", "sg"]).groupBy("model", "gram").agg(F.sum("lam").alias("ltrms"))
-    return current.join(sums, ["model", "gram"], "left").withColumn("ltrms", F.coalesce("ltrms", F.lit(0.0)))
+    rows = current.select("model", "cls", "gram", F.explode(suffixes).alias("x")).select("model", "cls", "gram", "x.so", "x.sg")
+    known = fitted.select("model", "cls", F.col("ord").alias("so"), F.col("gram").alias("sg"), "lam")
+    sums = rows.join(known, ["model", "cls", "so", "sg"]).groupBy("model", "cls", "gram").agg(F.sum("lam").alias("ltrms"))
+    return current.join(sums, ["model", "cls", "gram"], "left").withColumn("ltrms", F.coalesce("ltrms", F.lit(0.0)))
 
 
 def _weight(r: int, log_z, total):
@@ -49,9 +50,13 @@ class _Local:
     def __init__(self, rows, r: int, total: float):
         self.c, self.d, self.s, self.m = (np.array(x, float) for x in zip(*[(x.cnt, x.dref, x.ltrms, x.m) for x in rows], strict=True))
         self.r, self.total = r, total
-        self.lam = np.zeros(len(self.c))
+        self.lam = np.array([x.lam0 for x in rows], float)
         self.base = np.exp(np.minimum(700, r * self.s + self.d))
 
+    def start(self) -> tuple[float, float]:
+        """Of the weights to begin with: what they add to the normaliser, and their sum over tokens."""
+        return float((self.m * (self.base * np.expm1(np.minimum(700, self.r * self.lam)))).sum()), float((self.m * self.lam * self.c).sum())
+
     def round(self, log_z: float) -> tuple[float, float, float]:
         new = np.maximum(0.0, (np.log(self.c) - np.log(self.total) - self.d) / self.r + log_z - self.s)
         change = float(np.abs(new - self.lam).max())
@@ -65,9 +70,13 @@ class _Spread:
     def __init__(self, classes: DataFrame, r: int, total: float):
         self.classes, self.r, self.total, self.last = classes, r, total, None
 
+    def start(self) -> tuple[float, float]:
+        base = F.col("m") * F.exp(self.r * F.col("ltrms") + F.col("dref"))
+        return tuple(self.classes.agg(F.sum(base * F.expm1(self.r * F.col("lam0"))), F.sum(F.col("m") * F.col("lam0") * F.col("cnt"))).first())
+
     def round(self, log_z: float) -> tuple[float, float, float]:
         raw = F.greatest((F.log("cnt") - F.log(F.lit(self.total)) - F.col("dref")) / self.r + F.lit(log_z) - F.col("ltrms"), F.lit(0.0))
-        old = _weight(self.r, F.lit(self.last), F.lit(self.total)) if self.last is not None else F.lit(0.0)
+        old = _weight(self.r, F.lit(self.last), F.lit(self.total)) if self.last is not None else F.col("lam0")
         lam = tx.truncated(raw)
         got = self.classes.agg(F.sum(F.col("m") * F.exp(self.r * F.col("ltrms") + F.col("dref")) * F.expm1(self.r * lam)), F.sum(F.col("m") * lam * F.col("cnt")), F.max(F.abs(raw - old))).first()
         self.last = log_z
@@ -77,8 +86,9 @@ class _Spread:
 def rounds(sums, r: int, total: float, fixed: float, quality: int) -> tuple[float, float, float, int]:
     """(log Z used by the last round, log Z, divergence, rounds) of an order; fixed: the sum that lower orders give."""
     q_div, q_lam, q_z = QUALITY[quality]
-    log_z = np.log(fixed) / r
-    div = -log_z
+    extra, moved = sums.start()
+    log_z = np.log(fixed + extra) / r
+    div = -log_z + moved / total
     before = log_z
     for k in range(1, ROUNDS + 1):
         extra, moved, change = sums.round(log_z)
@@ -92,13 +102,23 @@ def rounds(sums, r: int, total: float, fixed: float, quality: int) -> tuple[floa
     return float(before), float(log_z), float(div), k
 
 
-def fit(features: DataFrame, order: int = 1, quality: int = 1, min_count: int = 0, class_limit: int = CLASS_LIMIT) -> tuple[DataFrame, DataFrame]:
+def fit(features: DataFrame, order: int = 1, quality: int = 1, min_count: int = 0, class_limit: int = CLASS_LIMIT, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Features (model, ord, gram, cnt, dref, ltrms, lam) and one row a model of its figures.
 
-    features: (model, ord, gram, cnt, dref). Features with counts of min_count or less get no weight.
+    features: (model, ord, gram, cnt, dref), and cls if tokens have classes (see mail.MEDIA): equal grams of
+    different classes are different features. Features with counts of min_count or less get no weight.
+    start: features of an earlier fit, whose weights the rounds begin with.
     """
+    if quality == 4 and order > 1:
+        raise ValueError("several passes over the orders (quality 4) are not offered")
     spark = features.sparkSession
-    features = written(features.select("model", "ord", "gram", F.col("cnt").cast("long").alias("cnt"), "dref"))
+    classed = "cls" in features.columns
+    cls = (F.col("cls") if classed else F.lit(0)).cast("int").alias("cls")
+    features = features.select("model", "ord", cls, "gram", F.col("cnt").cast("long").alias("cnt"), "dref")
+    if start is not None:
+        cls = (F.col("cls") if "cls" in start.columns else F.lit(0)).cast("int").alias("cls")
+        features = features.join(start.select("model", "ord", cls, "gram", F.col("lam").alias("lam0")), ["model", "ord", "cls", "gram"], "left")
+    features = written(features.withColumn("lam0", F.coalesce("lam0", F.lit(0.0)) if start is not None else F.lit(0.0)))
     done: list[DataFrame] = []
     figures: dict[str, dict] = {}
     fixed: dict[str, float] = {}
@@ -113,7 +133,7 @@ def fit(features: DataFrame, order: int = 1, quality: int = 1, min_count: int =
             current = _suffix_weights(current, fitted, r)
             weighted = fitted.where("lam > 0").groupBy("model").agg(F.sum(F.exp(r * F.col("ltrms") + F.col("dref")) * F.expm1(r * F.col("lam"))).alias("x"))
             fixed = {x.model: x.x for x in weighted.collect()}  # one row a model
-        classes = current.where(F.col("cnt") > min_count).groupBy("model", "cnt", "dref", "ltrms").agg(F.count("*").alias("m"))
+        classes = current.where(F.col("cnt") > min_count).groupBy("model", "cnt", "dref", "ltrms", "lam0").agg(F.count("*").alias("m"))
         classes = written(classes)
         sizes = classes.groupBy("model").agg(F.count("*").alias("n")).collect()
         totals = {x.model: float(x.t) for x in current.groupBy("model").agg(F.sum("cnt").alias("t")).collect()}
@@ -130,11 +150,12 @@ def fit(features: DataFrame, order: int = 1, quality: int = 1, min_count: int =
             figures[x.model] = {"log_z": log_z, "divergence": div, "iterations": figures.get(x.model, {}).get("iterations", 0) + k, "n_tokens": int(total)}
         known = spark.createDataFrame(rows, "model string, before double, total double")
         lam = F.when((F.col("cnt") > min_count) & F.col("before").isNotNull(), _weight(r, F.col("before"), F.col("total"))).otherwise(0.0)
-        done.append(written(current.join(F.broadcast(known), "model", "left").withColumn("lam", lam).select("model", "ord", "gram", "cnt", "dref", "ltrms", "lam")))
+        done.append(written(current.join(F.broadcast(known), "model", "left").withColumn("lam", lam).select("model", "ord", "cls", "gram", "cnt", "dref", "ltrms", "lam")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     n = {x.model: x.n for x in out.groupBy("model").agg(F.count("*").alias("n")).collect()}
+    out = out if classed else out.drop("cls")
     meta = [(m, order, f["log_z"], f["divergence"], f["iterations"], f["n_tokens"], n.get(m, 0)) for m, f in sorted(figures.items())]
     return out, spark.createDataFrame(meta, "model string, max_order int, log_z double, divergence double, iterations int, n_tokens long, n_features long")
 
@@ -155,6 +176,29 @@ def media_log_probabilities(features: DataFrame, meta: DataFrame, classes: int =
     return grid.join(mass, ["model", "cls"], "left").select("model", "cls", (-(F.log(1 / F.lit(classes) + F.coalesce("mass", F.lit(0.0))) - F.col("log_z"))).alias("log_p"))
 
 
+def gamma_law(docs: DataFrame, features: DataFrame, meta: DataFrame, sample: int = 25, key: str = "doc_id") -> DataFrame:
+    """Per model: mu, s2, and the shape alpha and scale beta of the gamma law of its documents' divergences.
+
+    docs: counts (model, key, ord, gram, cnt) of the documents that a model was learned from. A document's mean weight
+    is that of its tokens, where a feature of weight 0 counts nothing, and one of order 1 its reference
+    and normaliser as well. mu is the mean over all documents of -(entropy + mean weight); s2 is the spread about mu of
+    `sample` documents of each model, chosen by a hash of the key. Under two of them there is no law: all are 0 but mu.
+    """
+    cls = ["cls"] if "cls" in docs.columns and "cls" in features.columns else []
+    weight = F.col("lam") + F.when(F.col("ord") == 1, F.col("dref") - F.col("log_z")).otherwise(0.0)
+    known = features.where("lam > 0").join(F.broadcast(meta.select("model", "log_z")), "model").select("model", "ord", *cls, "gram", weight.alias("w"))  # a row a model
+    rows = docs.join(known, ["model", "ord", *cls, "gram"], "left")
+    per = rows.groupBy("model", key).agg(F.sum("cnt").alias("n"), F.sum(F.col("cnt") * F.coalesce("w", F.lit(0.0))).alias("x"), F.sum(F.col("cnt") * F.log("cnt")).alias("c"))
+    per = written(per.select("model", key, (-(F.log("n") - F.col("c") / F.col("n")) - F.col("x") / F.col("n")).alias("div")))
+    mu = per.groupBy("model").agg(F.avg("div").alias("mu"))
+    draw = F.row_number().over(W.partitionBy("model").orderBy(F.md5(F.col(key).cast("string")), key))
+    some = per.withColumn("draw", draw).where(F.col("draw") <= sample).join(F.broadcast(mu), "model")
+    spread = some.groupBy("model").agg(F.count("*").alias("k"), F.sum((F.col("div") - F.col("mu")) ** 2).alias("s"))
+    got = mu.join(spread, "model").withColumn("s2", F.when(F.col("k") > 1, F.col("s") / (F.col("k") - 1)).otherwise(0.0))
+    law = lambda x: F.when(F.col("s2") > 0, x).otherwise(0.0)
+    return got.select("model", "mu", "s2", law(F.col("mu") ** 2 / F.col("s2")).alias("alpha"), law(F.col("s2") / F.col("mu")).alias("beta"))
+
+
 def divergence_figures(docs_entropy: DataFrame) -> DataFrame:
     """Mean and unbiased variance of per-document entropies (column shannon)."""
     return docs_entropy.agg(F.count("*").alias("n_docs"), F.avg("shannon").alias("shannon"), F.var_samp("shannon").alias("shannon_s2"))

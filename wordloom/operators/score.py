@@ -18,31 +18,37 @@ from . import features as ft
 LN2 = math.log(2.0)
 
 
-def weights(features: DataFrame, models: list[str]) -> DataFrame:
+def weights(features: DataFrame, models: list[str], on: tuple[str, ...] = ("ord", "gram")) -> DataFrame:
     """(ord, gram, lams): an array by the place of the model in models; null where it lacks the gram."""
     cols = [F.max(F.when(F.col("model") == m, F.col("lam"))) for m in models]
-    return features.groupBy("ord", "gram").agg(F.array(*cols).alias("lams"))
+    return features.groupBy(*on).agg(F.array(*cols).alias("lams"))
 
 
-def score(counts: DataFrame, features: DataFrame, meta: DataFrame, ref: Column | None = None, key: str = "doc_id") -> DataFrame:
+def score(counts: DataFrame, features: DataFrame, meta: DataFrame, ref: Column | None = None, key: str = "doc_id", by: str | None = None) -> DataFrame:
     """(key, model, score, complexity, n_tokens, n_hits, s2, shannon, div) for every document and model.
 
     counts: (key, ord, gram, cnt). ref: the reference weight of an order-1 gram, uniform by default. Models
-    are few: their figures go into the plan as literals.
+    are few: their figures go into the plan as literals. If counts and features both have cls, the class of
+    a token is part of it. by: a column of all three tables (a fold, say); a document meets the models of its own value alone.
     """
     from . import measures
 
-    rows = meta.orderBy("model").collect()  # one row a model
+    found = meta.orderBy("model").collect()  # one row a model (and value of by)
+    rows = list({r.model: r for r in found}.values())
     models = [r.model for r in rows]
+    on = (*([by] if by else []), *(["cls"] if "cls" in counts.columns and "cls" in features.columns else []), "ord", "gram")
     ref = measures.uniform_ref(F.col("gram"), F.col("ord")) if ref is None else ref
     top = max((r.max_order for r in rows), default=1)
-    joined = counts.where(F.col("ord") <= top).join(weights(features, models), ["ord", "gram"], "left")
+    joined = counts.where(F.col("ord") <= top).join(weights(features, models, on), list(on), "left")
     n = F.col("cnt")
     aggs = []
     for k, r in enumerate(rows):
         lam = F.col("lams")[k]
         known = F.col("ord") <= r.max_order
-        x = F.coalesce(lam, F.lit(0.0)) + F.when(F.col("ord") == 1, ref).otherwise(0.0) - F.lit(r.log_z / r.max_order)
+        renorm = F.lit(r.log_z / r.max_order)
+        if by:
+            renorm = F.element_at(F.create_map(*[F.lit(v) for q in found if q.model == r.model for v in (q[by], q.log_z / q.max_order)]), F.col(by))
+        x = F.coalesce(lam, F.lit(0.0)) + F.when(F.col("ord") == 1, ref).otherwise(0.0) - renorm
         aggs.append(
             F.struct(
                 F.lit(r.model).alias("model"),
@@ -152,3 +158,29 @@ def format_line(scores: DataFrame, key: str = "doc_id") -> DataFrame:
     """One printed line a document: models by name, each with mean bits a token and complexity."""
     part = F.format_string("%s %5.2f * %-6.1f", "model", -F.col("score") / F.col("complexity") / LN2, "complexity")
     return scores.groupBy(key).agg(F.concat_ws(" ", F.array_sort(F.collect_list(part))).alias("printed"))
+
+
+def score_by_options(docs: DataFrame, groups: list, key: str = "doc_id") -> DataFrame:
+    """Scores of models that were learned with different tokenizers or patterns.
+
+    groups: (grams, features, meta) of the models that share options, where grams(docs) gives rows (key, ord, gram).
+    Each group's models see the counts of their own grams.
+    """
+    out = None
+    for grams, features, meta in groups:
+        own = score(ft.counts(grams(docs), key), features, meta, key=key)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def appended(docs: DataFrame, scores: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, line_no, printed): the lines of every document, each after a blank, then its printed scores."""
+    lines = ft.line_rows(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))).select(key, F.col("line_no").cast("long").alias("line_no"), F.concat(F.lit(" "), "line").alias("printed"))
+    last = docs.select(key, F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).cast("long").alias("line_no"))
+    return lines.unionByName(last.join(format_line(scores, key), key).select(key, "line_no", "printed"))
+
+
+def mean_complexity(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(model, mean_complexity, printed) of counts (model, key, ord, gram, cnt) of order 1: mean tokens of a model's documents."""
+    per = docs.where("ord = 1").groupBy("model", key).agg(F.sum("cnt").alias("n")).groupBy("model").agg(F.avg("n").alias("mean_complexity"))
+    return per.withColumn("printed", F.format_string("# mean_complexity %s %.1f", "model", "mean_complexity"))

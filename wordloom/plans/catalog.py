@@ -12,6 +12,7 @@ from ..functions import headers, mail, markup
 from ..functions import text as tx
 from ..operators import compare, decision, evaluate, fit, measures, score
 from ..operators import features as ft
+from ..sources import models
 from ..sources.readers import table
 
 QUERIES = {}
@@ -46,12 +47,12 @@ SQL_COUNTS = f"{SQL_TOKENS}, cnts as (select lang as model, gram, count(*) as cn
 SQL_TRUNC = "(case when ({x}) < 0 then -1 else 1 end) * least(floor(abs({x}) * 32), 65535) / 32.0"
 
 
-def sql_fit(quality: int = 1) -> str:
+def sql_fit(quality: int = 1, length: str = "strlen(gram)") -> str:
     """CTEs feat(model, gram, cnt, dref, lam) and meta(...) of the order-1 fit to cnts(model, gram, cnt), uniform measure."""
     qd, ql, qz = fit.QUALITY[quality]
     raw = lambda z: f"greatest(0.0, ln(v.c) - ln(xi) - v.d + {z})"
     lam = lambda z: f"(least(floor({raw(z)} * 32), 65535) / 32.0)"
-    return f"""f as (select model, gram, cnt, (strlen(gram) + 1) * {measures.UNIFORM} as dref from cnts),
+    return f"""f as (select model, gram, cnt, ({length} + 1) * {measures.UNIFORM} as dref from cnts),
 cls as (select model, cnt, dref, count(*) as m from f group by all),
 arr as (select model, sum(m * cnt)::double as xi, sum(m)::bigint as n_features, list({{'c': cnt::double, 'd': dref::double, 'm': m::double}} order by cnt, dref) as a from cls group by model),
 it as (
@@ -133,7 +134,9 @@ query("tok_alnum", _token_sql(sql_fold("text"), "[a-z0-9]{1,30}"))(_token_query(
 query("tok_graph", _token_sql(sql_fold("text"), "[!-~]{1,30}"))(_token_query("graph"))
 query("tok_char", _token_sql(sql_fold("text"), "[!-~]"))(_token_query("char"))
 query("tok_case_sensitive", _token_sql("text", "[a-zA-Z]{1,30}"))(_token_query("alpha", True))
-query("tok_cef2")(_token_query("cef2"))
+CEF2 = tx.RULES["cef2"].replace("'", "''")
+query("tok_cef2", f"""with t as (select doc_id, flatten(list_transform(regexp_extract_all({sql_fold("text")}, '{CEF2}'), lambda x: regexp_extract_all(x, '(?s).{{1,30}}'))) as t from documents)
+select doc_id, coalesce(len(t), 0)::bigint as n_tokens, coalesce(len(list_distinct(t)), 0)::bigint as n_types, md5(array_to_string(t, ' ')) as digest from t""")(_token_query("cef2"))
 query("tok_adp")(_token_query("adp"))
 query("tok_cef")(_token_query("cef"))
 
@@ -146,6 +149,16 @@ def tok_regex_overlapping(spark, sf):
     return documents(spark, sf).select("doc_id", F.size(t).cast("long").alias("n_matches"), F.size(F.array_distinct(t)).cast("long").alias("n_types"))
 
 
+@query("tok_regex_groups", """
+with m as (select doc_id, list_filter(list_transform(range(1, length(text)), lambda i: regexp_extract(substr(text, i, 3), '^([a-z])[aeiou]([a-z])$', 1) || ' ' || regexp_extract(substr(text, i, 3), '^([a-z])[aeiou]([a-z])$', 2)), lambda x: x <> ' ') as a,
+ list_filter(list_transform(range(1, length(text) + 1), lambda i: regexp_extract(substr(text, i, 1), '^[0-9]$')), lambda x: x <> '') as b from documents)
+select doc_id, (len(a) + len(b))::bigint as n_matches, md5(array_to_string(list_concat(a, b), ',')) as digest from m""")
+def tok_regex_groups(spark, sf):
+    """Two patterns, one with two groups."""
+    t = tx.all_matches(F.col("text"), [("([a-z])[aeiou]([a-z])", [1, 2]), ("[0-9]", [])])
+    return documents(spark, sf).select("doc_id", F.size(t).cast("long").alias("n_matches"), F.md5(F.array_join(t, ",")).alias("digest"))
+
+
 # --- counts ---------------------------------------------------------------------------------------------
 
 
@@ -316,11 +329,78 @@ def model_fit_bigram(spark, sf):
     return m.select("model", "max_order", "iterations", F.round("log_z", 4).alias("log_z"), F.round("divergence", 4).alias("divergence"))
 
 
-@query("model_integrity", f"with {SQL_COUNTS} select distinct model, true as weights_ok, true as count_ok, true as distinct_ok from cnts")
+@query("model_integrity", f"""{REC}{SQL_COUNTS}, {sql_fit()} select model, min(lam) >= 0 as weights_ok, count(*) = any_value(n_features) as count_ok, count(*) = count(distinct gram) as distinct_ok
+from feat join meta using (model) group by model""")
 def model_integrity(spark, sf):
     return evaluate.integrity(*language_models(spark, sf))
 
 
+ROLES = {"user": 1, "assistant": 2, "system": 3}
+SQL_CLASSES = f"""tok as (select case role {" ".join(f"when '{r}' then {k}" for r, k in ROLES.items())} else 0 end as cls, unnest({sql_tokens()}) as gram from conversations),
+cnts as (select 'all' as model, cls || '|' || gram as gram, count(*) as cnt from tok group by all), {sql_fit(length="strlen(gram) - 2")}"""
+
+
+def class_models(spark, sf):
+    """A model in which a token's class is the role of who said it."""
+    cls = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for x in ROLES.items() for v in x]), F.col("role")), F.lit(0))
+    d = table(spark, sf, "conversations").select(F.lit("all").alias("model"), cls.alias("cls"), "text")
+    return fit.fit(fit.with_uniform(ft.counts(ft.token_rows(d), "model")), 1)
+
+
+@query("class_model_features", f"{REC}{SQL_CLASSES} select model, substr(gram, 1, 1)::int as cls, substr(gram, 3) as gram, cnt, lam::double as lam from feat")
+def class_model_features(spark, sf):
+    return class_models(spark, sf)[0].select("model", "cls", "gram", "cnt", "lam")
+
+
+@query("class_log_probabilities", f"""{REC}{SQL_CLASSES}, mass as (select substr(gram, 1, 1)::int as cls, sum(exp(dref) * (exp(lam) - 1)) as x from feat group by all)
+select model, k::int as cls, round(-(ln(1.0 / 16 + coalesce(x, 0)) - log_z), 4) as log_p from meta cross join range(0, 16) t(k) left join mass on mass.cls = k""")
+def class_log_probabilities(spark, sf):
+    return fit.media_log_probabilities(*class_models(spark, sf)).select("model", "cls", F.round("log_p", 4).alias("log_p"))
+
+
+def language_document_counts(spark, sf):
+    return ft.counts(ft.token_rows(documents(spark, sf).select(F.col("lang").alias("model"), "doc_id", "text")), "model", "doc_id")
+
+
+@query("gamma_law", f"""{REC}{SQL_COUNTS}, {sql_fit()}, dcl as (select lang as model, doc_id, gram, count(*) as cnt from tok group by all),
+w as (select model, gram, lam + dref - log_z as w from feat join meta using (model) where lam > 0),
+dv as (select model, doc_id, -(ln(sum(cnt)) - sum(cnt * ln(cnt)) / sum(cnt)) - sum(cnt * coalesce(w, 0)) / sum(cnt) as div from dcl left join w using (model, gram) group by model, doc_id),
+mu as (select model, avg(div) as mu from dv group by model), pick as (select *, row_number() over (partition by model order by md5(doc_id::varchar), doc_id) as r from dv),
+sp as (select model, any_value(mu) as mu, sum(power(div - mu, 2)) / (count(*) - 1) as s2 from pick join mu using (model) where r <= 25 group by model)
+select model, round(mu, 4) as mu, round(s2, 4) as s2, round(mu * mu / s2, 2) as alpha, round(s2 / mu, 5) as beta from sp""")
+def gamma_law(spark, sf):
+    g = fit.gamma_law(language_document_counts(spark, sf), *language_models(spark, sf))
+    return g.select("model", F.round("mu", 4).alias("mu"), F.round("s2", 4).alias("s2"), F.round("alpha", 2).alias("alpha"), F.round("beta", 5).alias("beta"))
+
+
+@query("score_p_values")
+def score_p_values(spark, sf):
+    f, m = language_models(spark, sf)
+    law = fit.gamma_law(language_document_counts(spark, sf), f, m)
+    return score.p_value(score.score(document_counts(spark, sf), f, m), law).select("doc_id", "model", "p_value")
+
+
+@query("mean_complexity", f"with {SQL_TOKENS} select lang as model, round(count(*)::double / count(distinct doc_id), 6) as mean_complexity from tok group by lang")
+def mean_complexity(spark, sf):
+    return score.mean_complexity(language_document_counts(spark, sf)).select("model", F.round("mean_complexity", 6).alias("mean_complexity"))
+
+
+@query("append_echo", f"""with {SQL_TOKENS}, a as (select doc_id, line_no::bigint as line_no, ' ' || line as line from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) as line_no from documents)),
+s as (select distinct doc_id, len(string_split(coalesce(text, ''), chr(10)))::bigint as line_no from documents semi join tok using (doc_id))
+select doc_id, line_no, md5(line) as digest, false as is_score from a union all select doc_id, line_no, null, true from s""")
+def append_echo(spark, sf):
+    """Every document's lines, and behind them its scores in print."""
+    a = score.appended(documents(spark, sf), language_scores(spark, sf))
+    is_score = F.col("printed").rlike(r"^de +[0-9.-]+ \* [0-9.]+ +en ")
+    return a.select("doc_id", "line_no", F.when(~is_score, F.md5("printed")).alias("digest"), is_score.alias("is_score"))
+
+
+@query("model_dump_read", f"with {SQL_COUNTS} select model, gram, cnt, 1 as ord from cnts")
+def model_dump_read(spark, sf):
+    """Features printed and read back."""
+    return models.read_dump(models.dump(language_models(spark, sf)[0])).select("model", "gram", "cnt", "ord")
+
+
 @query("model_reference_only", f"with {SQL_TOKENS} select doc_id, sum((strlen(gram) + 1) * {measures.UNIFORM})::double as score, count(*)::double as complexity from tok group by doc_id")
 def model_reference_only(spark, sf):
     return score.random_model(document_counts(spark, sf)).select("doc_id", "score", "complexity")
@@ -490,11 +570,20 @@ loss_matrix {
 """
 
 
-@query("risk_patterns")
+@query("risk_patterns", f"""{REC}{SQL_SCORES}, w as (select doc_id, max(case when model = 'en' then score end) as en, max(case when model = 'de' then score end) as de, max(complexity) as c from sc group by doc_id),
+t as (select doc_id, de + c * ln(2) as r_en, en + case when regexp_matches(coalesce(text, ''), 'license [0-9]+', 'i') then ln(try_cast(regexp_extract(text, 'license ([0-9]+)', 1, 'i') as double) + 1) else 0 end as r_de from w join documents using (doc_id))
+select doc_id, case when r_en <= r_de then 'en' else 'de' end as category from t""")
 def risk_patterns(spark, sf):
     return decision.decide(language_scores(spark, sf), decision.parse(RISK_PATTERNS), documents(spark, sf)).select("doc_id", "category")
 
 
+@query("recursive_decision")
+def recursive_decision(spark, sf):
+    """All categories in the order in which they are best of those left."""
+    r = decision.recursive(language_scores(spark, sf), decision.parse(RISK))
+    return r.select("doc_id", "place", "category", F.round("score", 4).alias("score"))
+
+
 @query("ranked_documents", f"{REC}{SQL_SCORES} select doc_id, round(-score / complexity, 4) as s1 from sc where model = 'en' order by -score / complexity, doc_id limit 100")
 def ranked_documents(spark, sf):
     s = evaluate.rank_scores(language_scores(spark, sf).where("model = 'en'"))
@@ -533,10 +622,9 @@ def cross_validated(spark, sf):
     d = documents(spark, sf).select("doc_id", "lang", "text").withColumn("fold", evaluate.fold_of("doc_id", FOLDS))
     c = ft.counts(ft.token_rows(d.select(F.col("lang").alias("model"), "fold", "text")), "model", "fold")
     train = evaluate.training_sets(c, FOLDS).withColumn("model", F.concat("model", F.lit("/"), F.col("fold").cast("string"))).drop("fold")
-    f, m = fit.fit(fit.with_uniform(train), 1)
-    s = score.score(ft.counts(ft.token_rows(d.select("doc_id", "text")), "doc_id"), f, m)
-    own = s.withColumn("fold", F.split("model", "/")[1].cast("int")).withColumn("model", F.split("model", "/")[0])
-    own = own.where(F.col("fold") == evaluate.fold_of("doc_id", FOLDS))
+    apart = lambda t: t.withColumn("fold", F.split("model", "/")[1].cast("int")).withColumn("model", F.split("model", "/")[0])
+    f, m = map(apart, fit.fit(fit.with_uniform(train), 1))
+    own = score.score(ft.counts(ft.token_rows(d.select("doc_id", "fold", "text")), "doc_id", "fold"), f, m, by="fold")
     return d.select("doc_id", F.col("lang").alias("truth")).join(score.best(own), "doc_id")
 
 
@@ -609,12 +697,21 @@ def mail_media_counts(spark, sf):
     return ft.counts(ft.token_rows(x, "adp"), "doc_id", "cls").groupBy("doc_id", "cls").agg(F.sum("cnt").alias("n"))
 
 
-@query("mbox_split", "select count(*)::bigint as n from documents where true")
+@query("mbox_split", r"""select md5(rtrim('From s' || doc_id || chr(10) || 'Subject: ' || coalesce(source, '') || chr(10) || chr(10) || regexp_replace(coalesce(text, ''), '(^|\n\n)From ', '\1>From ', 'g'), chr(10))) as digest from documents""")
 def mbox_split(spark, sf):
     """Messages put in mailboxes of two, and split again."""
-    m = messages(spark, sf).withColumn("raw", F.regexp_replace("raw", "\n\nFrom ", "\n\n>From "))
-    pair = m.withColumn("box", F.floor(F.col("doc_id") / 2)).groupBy("box").agg(F.concat_ws("\n\n", F.array_sort(F.collect_list("raw"))).alias("box_text"))  # two a box
-    return pair.select(F.explode(mail.split_mbox(F.col("box_text"))).alias("raw")).agg(F.count("*").alias("n"))
+    raw = F.concat(F.lit("From s"), F.col("doc_id").cast("string"), F.lit("\nSubject: "), F.coalesce("source", F.lit("")), F.lit("\n\n"), F.regexp_replace(F.coalesce("text", F.lit("")), "(\\A|\n\n)From ", "$1>From "))
+    pair = documents(spark, sf).select("doc_id", raw.alias("raw")).withColumn("box", F.floor(F.col("doc_id") / 2)).groupBy("box").agg(F.concat_ws("\n\n", F.array_sort(F.collect_list("raw"))).alias("box_text"))  # two a box
+    return pair.select(F.explode(mail.split_mbox(F.col("box_text"))).alias("raw")).select(F.md5(F.regexp_replace("raw", "\n+\\z", "")).alias("digest"))
+
+
+@query("header_conformance", """select doc_id, case doc_id % 4 when 0 then 'rfc822,rfc2822,rfc2822-obs,rfc2822-lax' when 1 then 'rfc2822-obs,rfc2822-lax' when 2 then 'rfc822,rfc2822,rfc2822-obs,rfc2822-lax' else '' end as conforms from documents""")
+def header_conformance(spark, sf):
+    """Senders in four forms: plain, with a dot in the name, with a comment in a comment, and without a host."""
+    k, n = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    form = F.when(k == 0, F.concat(F.lit("W"), n, F.lit(" <w@example.org>"))).when(k == 1, F.concat(F.lit("W. "), n, F.lit(" <w@example.org>"))).when(k == 2, F.concat(F.lit("w@example.org (the (real) number "), n, F.lit(")"))).otherwise(F.concat(F.lit("W <w@"), F.lit(">")))
+    h = documents(spark, sf).select("doc_id", headers.headers_udf(F.concat(F.lit("From: "), form, F.lit("\n\n"))).alias("h"))
+    return h.select("doc_id", F.array_join(F.col("h")[0]["conforms"], ",").alias("conforms"))
 
 
 @query("mail_headers", "select doc_id, 'writer' || doc_id || '@example.org' as sender, (doc_id * 60 + 1000000000)::bigint as epoch from documents")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,20 +21,27 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; a cluster, an error."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix="wordloom-")
+        atexit.register(shutil.rmtree, local, True)
+        sc.setCheckpointDir(f"file://{local}")
+        found = sc._jsc.sc().getCheckpointDir().get()
+    return found.rstrip("/")
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df, written as Parquet in the folder of spark.checkpoint.dir and read again.
+    """df, written as Parquet in the shared folder and read again.
 
-    Executors may be lost: what follows starts from these files. A temporary folder serves only where
-    that setting is absent.
+    Executors may be lost: what follows starts from these files.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        local = tempfile.mkdtemp(prefix="wordloom-")
-        folder = f"file://{local}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(shutil.rmtree, local, True)
-    path = f"{folder.rstrip('/')}/wordloom-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/wordloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -54,6 +54,15 @@ def dump(features: DataFrame) -> DataFrame:
     return features.select("model", F.format_string("%9.3f %9.3f %9d %s", "lam", "dref", "cnt", token).alias("printed"))
 
 
+def read_dump(printed: DataFrame, column: str = "printed") -> DataFrame:
+    """(ord, gram, cnt, dref, lam) of printed features; other lines are passed over."""
+    line = r"^\s*(-?[0-9.]+)\s+(-?[0-9.]+)\s+([0-9]+)\s\[\]([\s\S]*)\[\]$"
+    part = lambda k: F.regexp_extract(column, line, k)
+    tokens = F.split(part(4), r"\[\]", -1)
+    rows = printed.where(F.col(column).rlike(line))
+    return rows.select(*[c for c in printed.columns if c != column], F.size(tokens).alias("ord"), F.array_join(tokens, " ").alias("gram"), part(3).cast("long").alias("cnt"), part(2).cast("double").alias("dref"), part(1).cast("double").alias("lam"))
+
+
 def add_counts(spark: SparkSession, path: str, counts: DataFrame) -> None:
     """Online learning: counts are appended; counts of the same gram add up when read."""
     counts.write.mode("append").parquet(path)
