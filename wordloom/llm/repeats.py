@@ -304,6 +304,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, compare
     per_text = different.groupBy("k1", "k2", "owner").agg(F.collect_list(F.struct("a", "r", "c", "s", "m", "o")).alias("runs"))
     contents = docs.join(per_text, ["k1", "k2", "owner"]).select("text", "runs").mapInArrow(_contents(unit, window), "a long, r long, c long, content binary, o int")
     sizes = different.groupBy("a").count().where(F.col("count") > most).select("a", F.lit(True).alias("large"))
+    sizes = tables.write(sizes, "sizes")
     contents = contents.join(sizes, "a", "left")
     contents = tables.write(contents, "contents")
     tables.drop("different")
@@ -313,7 +314,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, compare
     twice = large.groupBy("a", "h").agg((F.min("r") != F.max("r")).alias("d"), F.max("c").alias("c")).where("d or c > 1").select("a", "h")
     found = found.union(large.join(twice, ["a", "h"]).select("a", "r", "j", (F.col("j") + 1).alias("e")).distinct())
     found = tables.write(found, "found")
-    tables.drop("contents")
+    tables.drop("contents", "sizes")
     spans = rows.where("mixed").select("a", "r", "k1", "k2", "s").join(found, ["a", "r"]).select("k1", "k2", (F.col("s") + F.col("j")).alias("b"), (F.col("s") + F.col("e")).alias("e"))
     both = whole.union(spans).groupBy("k1", "k2").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
     both = common.materialize(both, "spans")
