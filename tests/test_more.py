@@ -185,6 +185,13 @@ def test_recursive_decisions_against_loops(spark):
             assert all(abs(a - b) < 1e-9 for (_, _, a), (_, b) in zip(own, want, strict=True))
 
 
+def test_printed_scores_are_decided(spark, tmp_path):
+    (tmp_path / "scores").write_text("x 2.00 * 4.0 y 1.00 * 4.0 z 3.00 * 4.0\nx 0.50 * 2.0 y 9.00 * 2.0 z 9.00 * 2.0\n")
+    plain = decision.parse(RISK.replace("complexity", "1").replace("{ 2, 1, 1 }", "{ 1, 1, 1 }"))
+    got = decision.decide_printed(spark, str(tmp_path / "scores"), plain).orderBy("line_no").collect()
+    assert [r.category for r in got] == ["y", "x"]
+
+
 def test_folds_meet_their_own_models(spark):
     f = spark.createDataFrame([("m", 0, 1, "a", 1.0), ("m", 1, 1, "a", 3.0)], "model string, fold int, ord int, gram string, lam double")
     m = spark.createDataFrame([("m", 0, 1, 0.5), ("m", 1, 1, 0.25)], "model string, fold int, max_order int, log_z double")

@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import readers
+
 _TOKEN = re.compile(r'\s*(?:#[^\n]*\n)*\s*(?:(?P<num>[0-9]*\.?[0-9]+(?:[eE][+-]?[0-9]+)?)|(?P<name>[A-Za-z_][\w.-]*)|\$(?P<cap>[0-9])|"(?P<text>(?:[^"\\\\]|\\\\.)*)"|(?P<op>[{}\[\](),+*/^-]))')
 LEVELS = ("+", "-", "*", "/", "^")
 
@@ -183,6 +185,11 @@ def decide(scores: DataFrame, spec: Spec, texts: DataFrame | None = None, key: s
     return d.select(key, F.element_at(names, F.col("at") + 1).alias("category"), F.element_at("log_risks", F.col("at") + 1).alias("risk"), "log_risks")
 
 
+def decide_printed(spark, path: str, spec: Spec) -> DataFrame:
+    """(line_no, category, risk, log_risks) of printed score lines. Printed scores are in bits and are taken as they are."""
+    return decide(readers.score_lines(spark, path), spec, key="line_no")
+
+
 def recursive(scores: DataFrame, spec: Spec, texts: DataFrame | None = None, key: str = "doc_id", text: str = "text", bits: bool = False) -> DataFrame:
     """(key, place, category, score): all categories, each the best of those that the ones before it leave.
 
