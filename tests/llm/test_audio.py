@@ -93,3 +93,5 @@ def test_tensors(spark):
     assert all(0 <= a < b for a, b in zip(table["start_s"].to_pylist(), table["end_s"].to_pylist(), strict=True))
     assert isinstance(t, pa.FixedShapeTensorArray)
     assert audio.tensors(audio.encode(docs.limit(0))).count() == 0
+    rows = {r.doc_id: r for r in audio.stored(docs.withColumn("media", docs.doc_id)).collect()}
+    assert bytes(rows[1].media) == audio.to_wav(b"ab" * 40000) and audio.unpack(bytes(rows[1].tensors)).num_rows > 0 and rows[2].n_bytes == 0

@@ -212,13 +212,22 @@ def unpack(stored: bytes) -> pa.Table:
         return got.read_all()
 
 
+AT_ONCE = 1 << 18  # bytes of text whose tensors are held at a time: short segments are padded to patches of 8 KB
+
+
 def stored(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_bytes, media and tensors: the WAV of each text's payload, and the packed features of what the WAV holds."""
 
-    def work(batch):
-        return [pa.array([pack(*features(from_wav(m)[0])) for m in batch.column("media").to_pylist()], pa.binary())]
+    def run(batches):
+        for batch in (x for b in batches for x in common.slices(b, text, most=AT_ONCE)):
+            texts = batch.column(text).to_pylist()
+            media = [to_wav(payload_of(t)) for t in texts]
+            sizes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
+            new = [pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array([pack(*features(from_wav(m)[0])) for m in media], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "n_bytes", "media", "tensors"])
 
-    return common.append_arrow(encode(docs, text), work, [T.StructField("tensors", T.BinaryType())])
+    rows = docs.drop("n_bytes", "media", "tensors")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *_MEDIA, T.StructField("tensors", T.BinaryType())]))
 
 
 def digest(table: pa.Table) -> str:
@@ -234,17 +243,20 @@ def digest(table: pa.Table) -> str:
 
 
 def op10_audio(spark, sf_dir):
+    """Each text's WAV and tensors are made, stored as bytes and read back one by one, so none wait in a batch."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    media = stored(docs).drop("text")
-    fields = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    fields = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+
+    def row(text):
+        m = to_wav(payload_of(text))
+        samples, _ = from_wav(m)
+        feature = digest(unpack(pack(*features(samples))))
+        return (len(text.encode("utf-8", "surrogatepass")) if text else 0, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature)
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for m, t in zip(batch.column("media").to_pylist(), batch.column("tensors").to_pylist(), strict=True):
-                samples, _ = from_wav(m)
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(m), hashlib.sha256(m).hexdigest(), digest(unpack(t))))
+            rows = [row(t.as_py()) for t in batch.column("text")]
             cols = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *cols], names=["doc_id", "n_bytes", *[n for n, _ in fields]])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", *[n for n, _ in fields]])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
