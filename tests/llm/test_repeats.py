@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+import duckdb
 import numpy as np
 
 from wordloom.llm import repeats, substring, suffix
@@ -72,6 +73,10 @@ def test_bytes(spark, tmp_path, most, monkeypatch):
         kept = bytes(b for b, x in zip(u, hit) if not x)
         want[i] = (len(u), int(hit.sum()), int((np.diff(hit.astype(int)) == 1).sum() + hit[0]), hashlib.sha256(kept).hexdigest())
     assert got == want
+    con = duckdb.connect()
+    con.execute(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(f"select doc_id, n_bytes, n_removed, n_spans, kept_sha256 from ({suffix.ORACLE_SQL})")
+    assert {r[0]: r[1:] for r in cur.fetchall()} == want
 
 
 def test_merged_transforms():

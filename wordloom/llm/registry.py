@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, substring, warc
+from . import decontaminate, substring, suffix, warc
 from .audio import op10_audio
 from .decontaminate import op1_decontaminate
 from .mixing import op5_mix_sources
@@ -25,4 +25,4 @@ QUERIES = {
     "op10_audio": op10_audio,
 }
 
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE_SQL, "op3_substring_dedup": substring.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE_SQL, "op3_substring_dedup": substring.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op8_suffix_dedup": suffix.ORACLE_SQL}

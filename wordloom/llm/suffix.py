@@ -237,3 +237,18 @@ def _keep(digest: bool):
 def op8_suffix_dedup(spark, sf_dir):
     found = _spans(repeats.keyed(common.table(spark, sf_dir, "documents")))
     return found.mapInArrow(_keep(True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+ORACLE_SQL = f"""
+with d as (select doc_id, row_number() over () as r, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
+pieces as (select r, n, s, substr(x, s * 2 + 1, {2 * (1000 + WINDOW - 1)}) as piece from (select *, unnest(range(0, n - {WINDOW - 1}, 1000)) as s from d where n >= {WINDOW})),
+starts as (select r, s + k as p, md5(substr(piece, k * 2 + 1, {2 * WINDOW})) as h from (select *, unnest(range(0, least(1000, n - {WINDOW - 1} - s))) as k from pieces)),
+twice as (select r, p from (select r, p, count(*) over (partition by h) as c from starts) where c > 1),
+marked as (select r, p, case when p - lag(p) over (partition by r order by p) <= {WINDOW} then 0 else 1 end as fresh from twice),
+runs as (select r, min(p) as a, max(p) + {WINDOW} as e from (select r, p, sum(fresh) over (partition by r order by p) as k from marked) group by r, k),
+gaps as (select r, coalesce(lag(e) over (partition by r order by a), 0) as b, a from runs union all select d.r, coalesce(max(e), 0), n from d left join runs using (r) group by d.r, n),
+kept as (select r, string_agg(substr(x, b * 2 + 1, (a - b) * 2), '' order by b, a) as y from gaps join d using (r) group by r),
+sums as (select r, sum(e - a)::bigint as gone, count(*)::bigint as n_spans from runs group by r)
+select doc_id, n as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(y)) as kept_sha256
+from d join kept using (r) left join sums using (r)
+"""
