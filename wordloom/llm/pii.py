@@ -94,13 +94,13 @@ def _holds(kind: str, s):
     return F.length(d).between(9, 15)
 
 
-_NO_SPANS = "cast(array() as array<struct<start:int,end:int,s:string>>)"
+_NO_SPANS = "cast(array() as array<struct<start:int,end:int,s:string,before:string>>)"
 NEEDS = {"email": "has_at", "ip": "has_digit", "card": "has_digit", "phone": "has_plus"}
 LOOSE_NEEDS = {"email": "has_at_word", "ip": "has_digit", "card": "has_digit", "phone": "has_digit"}
 
 
 def _scan(d: DataFrame, patterns: dict[str, str], needs: dict[str, str], name: str) -> DataFrame:
-    """d with <name>_<kind>: arrays of struct(start, end, s) of the matches in text, in code points.
+    """d with <name>_<kind>: arrays of struct(start, end, s, before) of the matches in text, in code points.
 
     Matches and the gaps between them are columns of their own, so that each is made once; a text
     that lacks what every match has isn't scanned.
@@ -115,31 +115,76 @@ def _scan(d: DataFrame, patterns: dict[str, str], needs: dict[str, str], name: s
     return d.drop(*found, *gaps)
 
 
+CHUNK = 256
+BEFORE = 40
+
+
+def _by_chunk(items, work):
+    """work(all items, chunk, place of its first from 1) of each CHUNK of an array, flattened: what is quadratic in work is so in CHUNK alone."""
+    starts = lambda a: F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a), F.lit(CHUNK))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(F.array(items), lambda a: F.flatten(F.transform(starts(a), lambda i: work(a, F.slice(a, i, F.lit(CHUNK)), i))))[0]
+
+
+def _length(a, m):
+    return a + F.length(m["g"]) + F.length(m["s"])
+
+
+def _tail(a, m):
+    return F.right(F.concat(a, m["g"], m["s"]), F.lit(BEFORE))
+
+
 def _located(found, gaps):
+    """Matches with the gaps before them as struct(start, end, s, before): before has the BEFORE characters that come before, if there are as many."""
+    pairs = F.arrays_zip(found.alias("s"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
+    sized = _by_chunk(pairs, lambda a, own, i: F.array(F.struct(own.alias("own"), F.aggregate(own, F.lit(0), _length).alias("n"), _tail_of(a, i).alias("tail"))))
+
+    def reached(acc, c):
+        return F.struct((acc["at"] + c["n"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def chunks(z):
+        at = F.aggregate(z, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), reached)["out"]
+        return F.flatten(F.transform(F.arrays_zip(z.alias("c"), at.alias("at")), lambda x: _walked(x["c"], x["at"])))
+
+    return F.transform(F.array(sized), chunks)[0]
+
+
+def _tail_of(a, i):
+    """The text before the match of place i: of the last BEFORE matches and their gaps, each of which has a character at least."""
+    first = F.greatest(i - BEFORE, F.lit(1))
+    return F.aggregate(F.slice(a, first, i - first), F.lit(""), _tail)
+
+
+def _walked(chunk, at):
     def step(acc, m):
         start = acc["at"] + F.length(m["g"])
         end = start + F.length(m["s"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), m["s"].alias("s")))).alias("out"))
+        before = F.right(F.concat(acc["tail"], m["g"]), F.lit(BEFORE))
+        span = F.struct(start.alias("start"), end.alias("end"), m["s"].alias("s"), before.alias("before"))
+        return F.struct(end.alias("at"), _tail(acc["tail"], m).alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    pairs = F.arrays_zip(found.alias("s"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.expr(_NO_SPANS).alias("out")), step)["out"]
+    return F.aggregate(chunk["own"], F.struct(at.alias("at"), chunk["tail"].alias("tail"), F.expr(_NO_SPANS).alias("out")), step)["out"]
 
 
-def _votes(kind: str, text, m):
-    before = F.substring(text, F.greatest(m["start"] - 39, F.lit(1)), F.least(m["start"], F.lit(40)))
+def _votes(kind: str, m):
     vote = lambda yes, else_: F.when(yes, F.lit(1)).otherwise(F.lit(else_))
     valid = _holds(kind, F.regexp_replace(m["s"], r"[\[\]\x20]", "")) if kind == "ip" else (F.length(_digits(m["s"])) == 16) & _luhn(_digits(m["s"])) if kind == "card" else F.lit(True)
     form = F.when(~valid, F.lit(0)).otherwise(vote(m["s"].rlike(STRICT[kind]), -1))
     size = F.least(F.floor(F.length(m["s"]) / 8), F.lit(3)).cast("int")
     marks = F.least(F.length(F.regexp_replace(m["s"], "[A-Za-z0-9]", "")), F.lit(3))
     known = vote(m["s"].rlike(GAZETTEER[kind]), 0 if kind in ("card", "phone") else -1)
-    return F.struct(form.alias("form"), known.alias("known"), vote(before.rlike(CONTEXT[kind]), 0).alias("context"), size.alias("size"), marks.alias("marks"))
+    return F.struct(form.alias("form"), known.alias("known"), vote(m["before"].rlike(CONTEXT[kind]), 0).alias("context"), size.alias("size"), marks.alias("marks"))
 
 
-def _candidates(text, kind: str, loose, base):
+def _candidates(kind: str, loose, base):
     """Loose matches that overlap no base span of any kind, with votes."""
-    free = F.filter(loose, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _votes(kind, text, m).alias("votes")))
+
+    def free(own, every):
+        first, last = own[0]["start"], F.element_at(own, -1)["end"]
+        near = F.filter(every, lambda b: (b["start"] < last) & (first < b["end"]))
+        return F.transform(F.array(near), lambda n: F.filter(own, lambda m: ~F.exists(n, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))[0]
+
+    found = F.transform(F.array(base), lambda every: _by_chunk(loose, lambda _, own, i: free(own, every)))[0]
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _votes(kind, m).alias("votes")))
 
 
 LABELERS = ("form", "known", "context")
@@ -220,7 +265,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     d = _scan(d, PATTERNS, NEEDS, "base")
     d = d.withColumns({f"base_{k}": _plain(_holding(k, F.col(f"base_{k}"))) for k in KINDS})
     d = _scan(d, CANDIDATES, LOOSE_NEEDS, "loose").withColumn("base", F.concat(*[f"base_{k}" for k in KINDS]))
-    d = d.select("doc_id", *[f"base_{k}" for k in KINDS], *[_candidates(t, k, F.col(f"loose_{k}"), F.col("base")).alias(f"loose_{k}") for k in KINDS])
+    d = d.select("doc_id", *[f"base_{k}" for k in KINDS], *[_candidates(k, F.col(f"loose_{k}"), F.col("base")).alias(f"loose_{k}") for k in KINDS])
     d = common.materialize(d, "spans")
     votes = F.flatten(F.array(*[_kind_votes(k) for k in KINDS]))
     rows = d.select(F.explode(votes).alias("x")).groupBy("x.kind", *[f"x.votes.{n}" for n in LABELERS + SHAPE]).count().collect()
