@@ -38,6 +38,60 @@ def test_spread_classes_give_the_same(spark):
     assert key(a[0]) == key(b[0])
 
 
+LONG = [(1, "m", "a" * 30 + " " + "b" * 30 + " bb " + "a" * 30 + " c bb bb " + "d" * 24)]
+
+
+def by_hand(counts, order, quality, passes):
+    """{(ord, gram): weight}, log Z, rounds: feature by feature, round by round."""
+    q_div, q_lam, q_z = fit.QUALITY[quality]
+    lam = dict.fromkeys(counts, 0.0)
+    dref = {(r, g): (len(g.replace(" ", "")) + r if r == 1 else len(g) + 1) * measures.UNIFORM for r, g in counts}
+    suffix = lambda r, g: sum(lam.get((k, " ".join(g.split(" ")[-k:])), 0.0) for k in range(1, r))
+    total_rounds, z_before, log_z = 0, 0.0, 0.0
+    for _ in range(passes):
+        for r in range(1, order + 1):
+            own = [x for x in counts if x[0] == r]
+            xi = sum(counts[x] for x in own)
+            fixed = 1 + sum(math.exp(r * suffix(*x) + dref[x]) * math.expm1(r * lam[x]) for x in counts if x[0] < r)
+            z = lambda: math.log(fixed + sum(math.exp(r * suffix(*x) + dref[x]) * math.expm1(r * lam[x]) for x in own)) / r  # noqa: E731, B023
+            div = lambda at: -at + sum(lam[x] * counts[x] for x in own) / xi  # noqa: E731, B023
+            log_z = z()
+            d = div(log_z)
+            for _ in range(50):
+                change, old = 0.0, log_z
+                for x in own:
+                    new = (math.log(counts[x]) - math.log(xi) - dref[x]) / r + old - suffix(*x)
+                    new = max(0.0, min(max(new, lam[x] - 100), lam[x] + 100))
+                    change = max(change, abs(new - lam[x]))
+                    lam[x] = int(new * 32) / 32
+                log_z, total_rounds = z(), total_rounds + 1
+                d, before = div(log_z), d
+                if abs(d - before) <= q_div and change <= q_lam and abs(log_z - old) <= q_z:
+                    break
+        if abs(1 - z_before / log_z) < 0.01:
+            break
+        z_before = log_z
+    return lam, log_z, total_rounds
+
+
+@pytest.mark.parametrize("rows, order, quality", [(LONG, 1, 1), (LONG, 1, 3), (LONG, 1, 4), (TEXTS[:2], 2, 1), (TEXTS[:2], 2, 4)])
+def test_fits_by_hand(spark, rows, order, quality):
+    d = spark.createDataFrame(rows, "doc_id long, model string, text string").select("model", "text")
+    c = ft.counts(ft.gram_rows(d, order), "model")
+    lam, log_z, rounds = by_hand({(x.ord, x.gram): x.cnt for x in c.collect()}, order, quality, 50 if quality == 4 else 1)
+    for limit in (1000, 0):
+        f, m = fit.fit(fit.with_uniform(c), order, quality, class_limit=limit)
+        assert {(x.ord, x.gram): x.lam for x in f.collect()} == lam
+        assert abs(m.first().log_z - log_z) < 1e-9 and m.first().iterations == rounds
+
+
+def test_grams_without_unigrams_are_of_order_one(spark):
+    rows = spark.createDataFrame([("a", 2, "x y", 1), ("a", 3, "x y z", 2), ("b", 1, "x", 1), ("b", 2, "x y", 1), (None, 2, "q r", 4)], "model string, ord int, gram string, cnt long")
+    got = {(x.model, x.gram): x.ord for x in ft.or_forced(rows, "model").collect()}
+    assert got == {("a", "x y"): 1, ("a", "x y z"): 1, ("b", "x"): 1, ("b", "x y"): 2, (None, "q r"): 1}
+    assert {x.ord for x in ft.forced(rows).collect()} == {1} and ft.or_forced(rows.limit(0), "model").count() == 0
+
+
 def test_min_count_gives_no_weight(spark):
     f, _ = learned(spark, [(1, "m", "The quick the brown brown brown fox jumped over the over lazy dog")], min_count=1)
     assert f.where("lam = 0").count() == 5

@@ -38,6 +38,20 @@ def counts(grams: DataFrame, *by: str) -> DataFrame:
     return grams.groupBy(*by, *cls, "ord", "gram").agg(F.count("*").alias("cnt"))
 
 
+def forced(rows: DataFrame) -> DataFrame:
+    """Grams or counts with every gram taken as a feature of order 1, for models of independent features."""
+    return rows.withColumn("ord", F.lit(1))
+
+
+def or_forced(counts_: DataFrame, *by: str) -> DataFrame:
+    """Counts, where a model (value of by) that has no grams of order 1 has all its grams taken as such."""
+    least = counts_.groupBy(*by).agg(F.min("ord").alias("least_"))
+    key = [F.col(b).eqNullSafe(F.col(f"{b}_")) for b in by]
+    least = F.broadcast(least.withColumnsRenamed({b: f"{b}_" for b in by}))  # a row a model
+    found = counts_.join(least, key) if by else counts_.crossJoin(least)
+    return found.withColumn("ord", F.when(F.col("least_") > 1, 1).otherwise(F.col("ord"))).select(*counts_.columns)
+
+
 def merge(*tables: DataFrame) -> DataFrame:
     """Counts of several learners taken together: exactly those of learning all at once."""
     out = tables[0]

@@ -4,7 +4,9 @@ Orders are fitted one after the other. All features of an order with the same co
 and suffix weight keep the same weight throughout, and within a round every weight depends on log Z
 alone, so a round is one sum over classes of equal features. Classes are few: they are iterated on the driver
 up to CLASS_LIMIT of them, and as one aggregate a round beyond that. Weights are truncated to multiples of 1/32
-in every round, which is part of what the fit means: it stops by its tolerances, not at a fixed point.
+in every round, which is part of what the fit means: it stops by its tolerances, not at a fixed point. No
+round moves a weight by more than JUMP. As log Z moves little in a round, that is the same as keeping the weight of round k
+within k * JUMP of the one it began with, so weights still follow from log Z and the round's number.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from . import measures
 # Tolerances (divergence, weight, log Z) of the quality levels.
 QUALITY = {1: (0.01, 0.05, 0.05), 2: (0.01, 1 / 32, 0.05), 3: (0.01, 1 / 32, 0.01), 4: (0.01, 1 / 32, 0.01)}
 ROUNDS = 50
+PASSES = 50
+SETTLED = 0.01
+JUMP = 100.0
 CLASS_LIMIT = 500_000
 
 
@@ -38,10 +43,14 @@ def _suffix_weights(current: DataFrame, fitted: DataFrame, order: int) -> DataFr
     return current.join(sums, ["model", "cls", "gram"], "left").withColumn("ltrms", F.coalesce("ltrms", F.lit(0.0)))
 
 
-def _weight(r: int, log_z, total):
-    """Truncated weight of a class, given log Z before the round."""
+def _moved(r: int, log_z, total, k):
+    """Weight of a class after round k, given log Z before it."""
     raw = (F.log("cnt") - F.log(total) - F.col("dref")) / r + log_z - F.col("ltrms")
-    return tx.truncated(F.greatest(raw, F.lit(0.0)))
+    return F.greatest(F.least(F.greatest(raw, F.col("lam0") - JUMP * k), F.col("lam0") + JUMP * k), F.lit(0.0))
+
+
+def _weight(r: int, log_z, total, k):
+    return tx.truncated(_moved(r, log_z, total, k))
 
 
 class _Local:
@@ -51,6 +60,7 @@ class _Local:
         self.c, self.d, self.s, self.m = (np.array(x, float) for x in zip(*[(x.cnt, x.dref, x.ltrms, x.m) for x in rows], strict=True))
         self.r, self.total = r, total
         self.lam = np.array([x.lam0 for x in rows], float)
+        self.first, self.k = self.lam, 0
         self.base = np.exp(np.minimum(700, r * self.s + self.d))
 
     def start(self) -> tuple[float, float]:
@@ -58,7 +68,9 @@ class _Local:
         return float((self.m * (self.base * np.expm1(np.minimum(700, self.r * self.lam)))).sum()), float((self.m * self.lam * self.c).sum())
 
     def round(self, log_z: float) -> tuple[float, float, float]:
-        new = np.maximum(0.0, (np.log(self.c) - np.log(self.total) - self.d) / self.r + log_z - self.s)
+        self.k += 1
+        new = (np.log(self.c) - np.log(self.total) - self.d) / self.r + log_z - self.s
+        new = np.maximum(0.0, np.clip(new, self.first - JUMP * self.k, self.first + JUMP * self.k))
         change = float(np.abs(new - self.lam).max())
         self.lam = np.minimum(np.floor(new * 32), 65535) / 32
         return float((self.m * (self.base * np.expm1(np.minimum(700, self.r * self.lam)))).sum()), float((self.m * self.lam * self.c).sum()), change
@@ -68,15 +80,16 @@ class _Spread:
     """The same sums as one aggregate over a table of classes."""
 
     def __init__(self, classes: DataFrame, r: int, total: float):
-        self.classes, self.r, self.total, self.last = classes, r, total, None
+        self.classes, self.r, self.total, self.last, self.k = classes, r, total, None, 0
 
     def start(self) -> tuple[float, float]:
         base = F.col("m") * F.exp(self.r * F.col("ltrms") + F.col("dref"))
         return tuple(self.classes.agg(F.sum(base * F.expm1(self.r * F.col("lam0"))), F.sum(F.col("m") * F.col("lam0") * F.col("cnt"))).first())
 
     def round(self, log_z: float) -> tuple[float, float, float]:
-        raw = F.greatest((F.log("cnt") - F.log(F.lit(self.total)) - F.col("dref")) / self.r + F.lit(log_z) - F.col("ltrms"), F.lit(0.0))
-        old = _weight(self.r, F.lit(self.last), F.lit(self.total)) if self.last is not None else F.col("lam0")
+        old = _weight(self.r, F.lit(self.last), F.lit(self.total), self.k) if self.last is not None else F.col("lam0")
+        self.k += 1
+        raw = _moved(self.r, F.lit(log_z), F.lit(self.total), self.k)
         lam = tx.truncated(raw)
         got = self.classes.agg(F.sum(F.col("m") * F.exp(self.r * F.col("ltrms") + F.col("dref")) * F.expm1(self.r * lam)), F.sum(F.col("m") * lam * F.col("cnt")), F.max(F.abs(raw - old))).first()
         self.last = log_z
@@ -107,10 +120,40 @@ def fit(features: DataFrame, order: int = 1, quality: int = 1, min_count: int =
 
     features: (model, ord, gram, cnt, dref), and cls if tokens have classes (see mail.MEDIA): equal grams of
     different classes are different features. Features with counts of min_count or less get no weight.
-    start: features of an earlier fit, whose weights the rounds begin with.
+    start: features of an earlier fit, whose weights the rounds begin with. The divergence of an order above 1 has what lower
+    orders' weights add to it. Quality 4 goes over all orders again from the weights it has, until a pass leaves a model's log Z
+    within one in a hundred of what it was, or PASSES have been made.
     """
-    if quality == 4 and order > 1:
-        raise ValueError("several passes over the orders (quality 4) are not offered")
+    if quality != 4:
+        return _pass(features, order, quality, min_count, class_limit, start)
+    spark = features.sparkSession
+    features = written(features)
+    kept: list[DataFrame] = []
+    figures: dict[str, dict] = {}
+    left, before = features, {}
+    for k in range(PASSES):
+        found, meta = _pass(left, order, quality, min_count, class_limit, start)
+        new = {x.model: x.asDict() for x in meta.collect()}  # one row a model
+        for m, f in new.items():
+            f["iterations"] += figures[m]["iterations"] if m in figures else 0
+        figures |= new
+        done = [m for m, f in new.items() if k == PASSES - 1 or f["log_z"] == before.get(m) or (f["log_z"] and abs(1 - before.get(m, 0.0) / f["log_z"]) < SETTLED)]
+        kept.append(found.where(F.col("model").isin(done)))
+        before = {m: f["log_z"] for m, f in new.items()}
+        if len(done) == len(new):
+            break
+        left, start = features.where(~F.col("model").isin(done)), found
+    out = kept[0]
+    for d in kept[1:]:
+        out = out.unionByName(d)
+    return out, spark.createDataFrame([tuple(figures[m].values()) for m in sorted(figures)], META)
+
+
+META = "model string, max_order int, log_z double, divergence double, iterations int, n_tokens long, n_features long"
+
+
+def _pass(features: DataFrame, order: int, quality: int, min_count: int, class_limit: int, start: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """One fit of every order."""
     spark = features.sparkSession
     classed = "cls" in features.columns
     cls = (F.col("cls") if classed else F.lit(0)).cast("int").alias("cls")
@@ -122,6 +165,7 @@ def fit(features: DataFrame, order: int = 1, quality: int = 1, min_count: int =
     done: list[DataFrame] = []
     figures: dict[str, dict] = {}
     fixed: dict[str, float] = {}
+    lower: dict[str, float] = {}
     for r in range(1, order + 1):
         current = features.where(F.col("ord") == r)
         if r == 1:
@@ -131,8 +175,9 @@ def fit(features: DataFrame, order: int = 1, quality: int = 1, min_count: int =
             for d in done[1:]:
                 fitted = fitted.unionByName(d)
             current = _suffix_weights(current, fitted, r)
-            weighted = fitted.where("lam > 0").groupBy("model").agg(F.sum(F.exp(r * F.col("ltrms") + F.col("dref")) * F.expm1(r * F.col("lam"))).alias("x"))
-            fixed = {x.model: x.x for x in weighted.collect()}  # one row a model
+            weighted = fitted.where("lam > 0").groupBy("model").agg(F.sum(F.exp(r * F.col("ltrms") + F.col("dref")) * F.expm1(r * F.col("lam"))).alias("x"), F.sum(F.col("lam") * F.col("cnt")).alias("y"))
+            found = weighted.collect()  # one row a model
+            fixed, lower = {x.model: x.x for x in found}, {x.model: x.y for x in found}
         classes = current.where(F.col("cnt") > min_count).groupBy("model", "cnt", "dref", "ltrms", "lam0").agg(F.count("*").alias("m"))
         classes = written(classes)
         sizes = classes.groupBy("model").agg(F.count("*").alias("n")).collect()
@@ -146,10 +191,10 @@ def fit(features: DataFrame, order: int = 1, quality: int = 1, min_count: int =
             total = totals[x.model]
             sums = _Local(local[x.model], r, total) if x.model in local else _Spread(classes.where(F.col("model") == x.model), r, total)
             before, log_z, div, k = rounds(sums, r, total, 1 + fixed.get(x.model, 0.0), quality)
-            rows.append((x.model, before, total))
-            figures[x.model] = {"log_z": log_z, "divergence": div, "iterations": figures.get(x.model, {}).get("iterations", 0) + k, "n_tokens": int(total)}
-        known = spark.createDataFrame(rows, "model string, before double, total double")
-        lam = F.when((F.col("cnt") > min_count) & F.col("before").isNotNull(), _weight(r, F.col("before"), F.col("total"))).otherwise(0.0)
+            rows.append((x.model, before, total, k))
+            figures[x.model] = {"log_z": log_z, "divergence": div + lower.get(x.model, 0.0) / total, "iterations": figures.get(x.model, {}).get("iterations", 0) + k, "n_tokens": int(total)}
+        known = spark.createDataFrame(rows, "model string, before double, total double, rounds int")
+        lam = F.when((F.col("cnt") > min_count) & F.col("before").isNotNull(), _weight(r, F.col("before"), F.col("total"), F.col("rounds"))).otherwise(0.0)
         done.append(written(current.join(F.broadcast(known), "model", "left").withColumn("lam", lam).select("model", "ord", "cls", "gram", "cnt", "dref", "ltrms", "lam")))
     out = done[0]
     for d in done[1:]:
@@ -157,7 +202,7 @@ def fit(features: DataFrame, order: int = 1, quality: int = 1, min_count: int =
     n = {x.model: x.n for x in out.groupBy("model").agg(F.count("*").alias("n")).collect()}
     out = out if classed else out.drop("cls")
     meta = [(m, order, f["log_z"], f["divergence"], f["iterations"], f["n_tokens"], n.get(m, 0)) for m, f in sorted(figures.items())]
-    return out, spark.createDataFrame(meta, "model string, max_order int, log_z double, divergence double, iterations int, n_tokens long, n_features long")
+    return out, spark.createDataFrame(meta, META)
 
 
 def corpus_entropy(features: DataFrame) -> DataFrame:

@@ -50,8 +50,8 @@ SQL_TRUNC = "(case when ({x}) < 0 then -1 else 1 end) * least(floor(abs({x}) * 3
 def sql_fit(quality: int = 1, length: str = "strlen(gram)") -> str:
     """CTEs feat(model, gram, cnt, dref, lam) and meta(...) of the order-1 fit to cnts(model, gram, cnt), uniform measure."""
     qd, ql, qz = fit.QUALITY[quality]
-    raw = lambda z: f"greatest(0.0, ln(v.c) - ln(xi) - v.d + {z})"
-    lam = lambda z: f"(least(floor({raw(z)} * 32), 65535) / 32.0)"
+    raw = lambda z, k: f"least(greatest(0.0, ln(v.c) - ln(xi) - v.d + {z}), {fit.JUMP} * ({k}))"
+    lam = lambda z, k: f"(least(floor({raw(z, k)} * 32), 65535) / 32.0)"
     return f"""f as (select model, gram, cnt, ({length} + 1) * {measures.UNIFORM} as dref from cnts),
 cls as (select model, cnt, dref, count(*) as m from f group by all),
 arr as (select model, sum(m * cnt)::double as xi, sum(m)::bigint as n_features, list({{'c': cnt::double, 'd': dref::double, 'm': m::double}} order by cnt, dref) as a from cls group by model),
@@ -61,14 +61,14 @@ it as (
   select model, i + 1, lz, new_lz, new_div, abs(new_div - div) <= {qd} and change <= {ql} and abs(new_lz - lz) <= {qz}
   from (select *, -new_lz + moved / xi as new_div from (
     select it.*, xi,
-      ln(1 + list_sum(list_transform(a, lambda v: v.m * exp(v.d) * (exp({lam("lz")}) - 1)))) as new_lz,
-      list_sum(list_transform(a, lambda v: v.m * v.c * {lam("lz")})) as moved,
-      list_max(list_transform(a, lambda v: abs({raw("lz")} - (case when prior is null then 0.0 else {lam("prior")} end)))) as change
+      ln(1 + list_sum(list_transform(a, lambda v: v.m * exp(v.d) * (exp({lam("lz", "i + 1")}) - 1)))) as new_lz,
+      list_sum(list_transform(a, lambda v: v.m * v.c * {lam("lz", "i + 1")})) as moved,
+      list_max(list_transform(a, lambda v: abs({raw("lz", "i + 1")} - (case when prior is null then 0.0 else {lam("prior", "i")} end)))) as change
     from it join arr using (model)))
   where not done and i < {fit.ROUNDS}),
 last as (select model, max_by(prior, i) as prior, max_by(lz, i) as log_z, max_by(div, i) as divergence, max(i) as iterations from it group by model),
 meta as (select model, log_z, divergence, iterations, xi::bigint as n_tokens, n_features from last join arr using (model)),
-feat as (select f.model, gram, cnt, dref, least(floor(greatest(0.0, ln(cnt::double) - ln(n_tokens::double) - dref + prior) * 32), 65535) / 32.0 as lam from f join last using (model) join meta using (model))"""
+feat as (select f.model, gram, cnt, dref, least(floor(least(greatest(0.0, ln(cnt::double) - ln(n_tokens::double) - dref + prior), {fit.JUMP} * last.iterations) * 32), 65535) / 32.0 as lam from f join last using (model) join meta using (model))"""
 
 
 SQL_SCORES = f"""{SQL_COUNTS}, {sql_fit()},
@@ -329,6 +329,34 @@ def model_fit_bigram(spark, sf):
     return m.select("model", "max_order", "iterations", F.round("log_z", 4).alias("log_z"), F.round("divergence", 4).alias("divergence"))
 
 
+@query("model_fit_quality4")
+def model_fit_quality4(spark, sf):
+    """Bigram models in several passes over the orders."""
+    d = documents(spark, sf).select(F.col("lang").alias("model"), "text")
+    _, m = fit.fit(fit.with_uniform(ft.counts(ft.gram_rows(d, 2), "model")), 2, 4)
+    return m.select("model", "max_order", "iterations", F.round("log_z", 4).alias("log_z"), F.round("divergence", 4).alias("divergence"))
+
+
+SQL_FORCED = f"{SQL_LINES}, {_sql_grams(2, 'tt').replace('lang as model, ord,', 'lang as model, 1 as ord,')}"
+
+
+@query("forced_order_counts", f"with {SQL_FORCED}")
+def forced_order_counts(spark, sf):
+    return ft.counts(ft.forced(ft.gram_rows(documents(spark, sf).select(F.col("lang").alias("model"), "text"), 2)), "model")
+
+
+SQL_TOP = f"{SQL_LINES}, cnts as ({_sql_grams(2, 'tt').replace('gr as', 'select model, gram, cnt from (with gr as', 1)}) where ord = 2)"
+
+
+@query("unigram_fallback", f"{REC}{SQL_TOP}, {sql_fit()} select model, iterations::int as iterations, round(log_z, 4) as log_z, n_tokens, n_features from meta")
+def unigram_fallback(spark, sf):
+    """Models whose only grams are of order 2, which are then fitted as features of order 1."""
+    d = documents(spark, sf).select(F.col("lang").alias("model"), "text")
+    top = ft.counts(ft.gram_rows(d, 2).where("ord = 2"), "model")
+    _, m = fit.fit(fit.with_uniform(ft.or_forced(top, "model")))
+    return m.select("model", "iterations", F.round("log_z", 4).alias("log_z"), "n_tokens", F.col("n_features").cast("long").alias("n_features"))
+
+
 @query("model_integrity", f"""{REC}{SQL_COUNTS}, {sql_fit()} select model, min(lam) >= 0 as weights_ok, count(*) = any_value(n_features) as count_ok, count(*) = count(distinct gram) as distinct_ok
 from feat join meta using (model) group by model""")
 def model_integrity(spark, sf):
