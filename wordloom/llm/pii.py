@@ -120,7 +120,10 @@ BEFORE = 40
 
 
 def _by_chunk(items, work):
-    """work(all items, chunk, place of its first from 1) of each CHUNK of an array, flattened: what is quadratic in work is so in CHUNK alone."""
+    """work(all items, chunk, place of its first from 1) of each CHUNK of an array, flattened.
+
+    What is quadratic in work is so in CHUNK alone; what remains is a pass over the whole array for each chunk.
+    """
     starts = lambda a: F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a), F.lit(CHUNK))).otherwise(F.expr("cast(array() as array<int>)"))
     return F.transform(F.array(items), lambda a: F.flatten(F.transform(starts(a), lambda i: work(a, F.slice(a, i, F.lit(CHUNK)), i))))[0]
 
