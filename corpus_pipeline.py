@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.llm import common, decontaminate, mixing, quality, sharding, shingles
+from wordloom.llm import common, decontaminate, mixing, quality, sharding, shingles, simhash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,8 +20,11 @@ def quality_stage(spark, docs, sf_dir):
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
-    """Keep of each group of near-duplicates the document with the least id, and all others whole."""
-    return shingles.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
+    """Keep of each group of near-duplicates the document with the least id, and all others whole.
+
+    Groups are what op9's links between fingerprints connect, and pairs of shingle sets of similarity 0.8 or more.
+    """
+    return shingles.keep_one(docs.select(*COLUMNS), radius=simhash.RADIUS).select(*COLUMNS)
 
 
 def decontamination_stage(spark, docs, sf_dir):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as c
-from wordloom.llm import shingles
+from wordloom.llm import shingles, simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -145,6 +145,50 @@ def test_repeated_lines_lose_no_link(spark, copies):
     assert sorted(x.doc_id for x in got.collect()) == want and len(want) < len(texts)
 
 
+def test_stage_links_fingerprints_too(spark, tmp_path):
+    """Against brute force of both ways' links: texts within three bits that share under 0.8 of their shingles of five words, and copies of these at 0.8."""
+    r = random.Random(4)
+    v = [f"w{i}" for i in range(4000)]
+
+    def edited(words, n):
+        own = list(words)
+        for i in r.sample(range(len(own)), n):
+            own[i] = r.choice(v)
+        return own
+
+    fp = lambda t: int(simhash.fingerprints([t], 3)[0])
+    far = lambda a, b: (fp(a) ^ fp(b)).bit_count()
+    texts = []
+    while len(texts) < 12:
+        base = r.choices(v, k=400)
+        a = " ".join(base)
+        for _ in range(100):
+            b = edited(base, 14)
+            d = " ".join(edited(b, 8))
+            b = " ".join(b)
+            if far(a, b) <= 3 and jaccard(a, b) < 0.8 <= jaccard(b, d) and far(b, d) > 3 and far(a, d) > 3 and jaccard(a, d) < 0.8:
+                texts += [a, b, d]
+                break
+    texts += [" ".join(r.choices(v, k=n)) for n in (1, 3, 5, 60, 400)] + [None, " ", texts[1]]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8 or far(texts[i], texts[j]) <= 3:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = sorted({find(i) for i in range(len(texts))})
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], COLUMNS).repartition(3)
+    got = c.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert sorted(x.doc_id for x in got.collect()) == want == [0, 3, 6, 9, 12, 13, 14, 15, 16, 17]
+    assert c.near_duplicate_stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_filters_pass_every_similar_pair():
     r = np.random.default_rng(11)
     for n in (1, 7, 60, 900, 9000):

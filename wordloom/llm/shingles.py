@@ -19,6 +19,9 @@ one of the sets, so a pair that differs in more bits than the similarity allows
 
 No test before the verification drops a pair that is similar enough.
 
+With a radius, texts that simhash.py links by fingerprints within it (its balls, its distances) are one group, too: the
+edges of both ways make the components. Links weigh repeats and shingles of three words, so neither way finds all that the other does.
+
 Texts are known by XXH64, so copies are one text. A second hash tells texts apart that the first takes
 for one: the one with the least second hash is compared with others, the rest stay, each with its copies as a
 group of its own. So a collision may leave a near-duplicate in, but drops no document.
@@ -133,7 +136,7 @@ def _neighbours(least: float):
     return _by_bucket(pairs)
 
 
-def _across(least: float, block: int = 2_000_000):
+def _across(least: float, block: int = 500_000):
     """Second round of wide buckets: the candidate pairs between different components."""
 
     def pairs(h, k, n, p, root, bits):
@@ -246,15 +249,36 @@ def _verified(tables: common.Scratch, pairs: DataFrame, texts: DataFrame, words:
     return edges
 
 
+def _fingerprints(batches):
+    for batch in (x for b in batches for x in common.slices(b, "text")):
+        fp = simhash.fingerprints(batch.column("text").to_pylist(), 3).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("k2"), pa.array(fp)], names=["k", "k2", "fp"])  # no texts go back
+
+
+def _fingerprint_edges(tables: common.Scratch, texts: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) that tie together the texts (k, k2, text) whose fingerprints are linked, directly or through others; written."""
+    own = texts.mapInArrow(_fingerprints, "k long, k2 long, fp long").groupBy("k").agg(F.min_by("fp", "k2").alias("fp"))  # of keys that collide, the text that is compared
+    own = tables.write(own, "fingerprints")
+    tables.drop()
+    groups = tables.write(own.groupBy("fp").agg(F.min("k").alias("least")), "groups")
+    links = simhash.links(groups.select("fp"), radius)
+    named = lambda c: groups.select(F.col("fp").alias(c), F.col("least").alias(f"k{c}"))
+    across = links.join(named("a"), "a").join(named("b"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    edges = own.join(groups, "fp").select(F.col("k").alias("a"), F.col("least").alias("b")).where("a != b").union(across)
+    edges = tables.write(edges, "linked")
+    tables.drop("fingerprints", "groups")
+    return edges
+
+
 def _key(text):
     """What texts are known by, as a Column."""
     return F.xxhash64(text)
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST, radius: int | None = None) -> DataFrame:
     """Of each group of near-duplicates the row with the least doc_id; the columns of docs.
 
-    Groups are what verified pairs connect. Texts without words are copies of each other; texts of
+    Groups are what verified pairs connect and, with a radius, links of fingerprints within it. Texts without words are copies of each other; texts of
     fewer words than a shingle are compared whole. Of repeated rows with the least id one stays. A
     null doc_id is the largest. Empty tables give empty results. Columns of docs may have any names
     but those that begin with two underscores.
@@ -263,6 +287,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     bare = F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.col(text)).otherwise("")
     keyed = docs.withColumn("__k", _key(bare)).withColumn("__k2", F.xxhash64(F.lit(1), bare))  # another seed
     texts = keyed.select(F.col("__k").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    linked = None if radius is None else _fingerprint_edges(tables, keyed.select(F.col("__k").alias("k"), F.col("__k2").alias("k2"), F.coalesce(F.col(text), F.lit("")).alias("text")), radius)
     schema = "h long, k long, n int, p int"
     often = texts.mapInArrow(_prefixes(words, least, np.empty(0, np.uint64)), schema).groupBy("h").count().where(F.col("count") > OFTEN)
     rows = often.orderBy(F.desc("count"), "h").limit(HOT).collect()  # HOT rows at most
@@ -282,8 +307,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     near = tables.write(near.distinct(), "near")
     tables.drop("prefixes")
     edges = _verified(tables, near, texts, words, least)
+    edges = edges if linked is None else edges.union(linked)
     root = tables.write(components(edges), "root")
-    tables.drop("near")
+    tables.drop("near", "linked")
     own = own.join(root, F.col("k") == F.col("node"), "left").select("k", "parities", F.coalesce("root", "k").alias("root"))
     second = wide.join(own, "k").select("h", "k", "n", "p", "root", "parities").repartition("h").sortWithinPartitions("h", "k")
     more = _verified(tables, second.mapInArrow(_across(least), "a long, b long").distinct(), texts, words, least)
