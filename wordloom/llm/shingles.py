@@ -86,7 +86,7 @@ def prefix_size(n: int, least: float) -> int:
 
 def _prefixes(words: int, least: float, hot: np.ndarray):
     def run(batches):
-        for batch in (x for b in batches for x in common.slices(b, "text")):
+        for batch in (x for b in batches for x in common.slices(b, "text", most=1 << 20)):
             seen: dict[int, str] = {}
             for k, t in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 seen.setdefault(k, t)
@@ -216,7 +216,7 @@ def _by_bucket(pairs, limit: int = 200_000):
 
 def _verify(words: int, least: float):
     def run(batches):
-        for batch in (x for y in batches for x in common.slices(y, "ta", "tb")):
+        for batch in (x for y in batches for x in common.slices(y, "ta", "tb", most=1 << 20)):
             a, b, s, t = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
             ok = []
             last: tuple = (None, None)
@@ -250,7 +250,7 @@ def _verified(tables: common.Scratch, pairs: DataFrame, texts: DataFrame, words:
 
 
 def _fingerprints(batches):
-    for batch in (x for b in batches for x in common.slices(b, "text")):
+    for batch in (x for b in batches for x in common.slices(b, "text", most=1 << 20)):
         fp = simhash.fingerprints(batch.column("text").to_pylist(), 3).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("k2"), pa.array(fp)], names=["k", "k2", "fp"])  # no texts go back
 
