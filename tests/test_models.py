@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -206,3 +207,16 @@ def test_train_on_error(spark, tmp_path):
     batches = [d.where(f"doc_id >= {k} and doc_id < {k + 4}") for k in (0, 4)]
     out = [p.collect() for p in lines.train_on_error(spark, batches, lambda c: fit.fit(fit.with_uniform(c)), f"{tmp_path}/toe")]
     assert all(r.best is None for r in out[0]) and all(r.best == r.truth for r in out[1])
+
+
+def test_dirichlet_takes_no_memory_by_its_counts():
+    n = np.zeros((256, 256))
+    n[1:4, 1:4] = [[5, 10**7, 0], [70_000, 2, 3], [4, 1, 300_000]]
+    tracemalloc.start()
+    w = measures.dirichlet(n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6 and np.isfinite(w[1:4, 1:4][n[1:4, 1:4] > 0]).all()
+    for m in (2, 3, 70_000, 200_001):  # sums beyond the table are those of adding up
+        got = [x[0] for x in measures._power_sums(np.array([m]))]
+        assert np.allclose(got, [sum(1 / k**p for k in range(3, m + 1)) for p in (1, 2)], rtol=1e-12)
