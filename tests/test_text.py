@@ -67,3 +67,24 @@ def test_merge_and_decimation(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.select(*whole.columns).collect()))
     assert 0 < ft.decimate(d, 2).count() < 30 and ft.reservoir(d, 5).count() == 5
     assert ft.min_count(whole, -29).count() == 4 and ft.min_count(whole, 10).count() == 1
+
+
+@pytest.mark.parametrize("order, straddle", [(2, False), (3, False), (3, True)])
+def test_gram_rows_in_compiled_code(spark, order, straddle):
+    texts = ["a b c.\nd", "", "\n\n", None, "A-b", "one two\nthree.", "Kelvin İstanbul ÉtÉ STRASSE"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = ft.gram_rows(d, order, straddle=straddle)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "flatten(" not in plan and "array_join(" not in plan  # the functions that took the time
+    t = d.select("doc_id", tx.tokens(F.col("text")).alias("t")) if straddle else ft.line_rows(d).select("doc_id", tx.closed_tokens(F.col("line")).alias("t"))
+    want = t.select("doc_id", F.explode(tx.grams(F.col("t"), order)).alias("g")).select("doc_id", "g.ord", "g.gram")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect()))
+    some = ft.gram_rows(d, order, straddle=straddle, least=2)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, want.where("ord > 1").collect()))
+
+
+def test_only_ascii_letters_are_folded(spark):
+    text = "Kelvin İstanbul ÉtÉ AbC"
+    d = spark.createDataFrame([(text,), (text[7:],), (text[17:],)], "t string")
+    got = [r.x for r in d.select(tx.tokens(F.col("t")).alias("x")).collect()]
+    assert got == [["elvin", "stanbul", "t", "abc"], ["stanbul", "t", "abc"], ["t", "abc"]]
