@@ -220,3 +220,40 @@ def test_dirichlet_takes_no_memory_by_its_counts():
     for m in (2, 3, 70_000, 200_001):  # sums beyond the table are those of adding up
         got = [x[0] for x in measures._power_sums(np.array([m]))]
         assert np.allclose(got, [sum(1 / k**p for k in range(3, m + 1)) for p in (1, 2)], rtol=1e-12)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_counts_within_rows(spark):
+    texts = [(1, "b a b\nB c"), (2, ""), (3, None), (4, "a")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    want = {(1, 1, "a", 1), (1, 1, "b", 3), (1, 1, "c", 1), (4, 1, "a", 1)}
+    got = ft.token_counts(d, "doc_id")
+    assert {tuple(r) for r in got.collect()} == want and exchanges(got) == 0  # no counts are sent
+    twice = d.unionByName(d.where("doc_id = 4"))
+    assert {tuple(r) for r in ft.token_counts(twice, "doc_id").collect()} == want - {(4, 1, "a", 1)} | {(4, 1, "a", 2)}
+    by_line = {(1, 0, "a", 1), (1, 0, "b", 2), (1, 1, "b", 1), (1, 1, "c", 1), (4, 0, "a", 1)}
+    assert {(r.doc_id, r.line_no, r.gram, r.cnt) for r in score.line_counts(d).collect()} == by_line
+
+
+@pytest.mark.parametrize("limit", [0, 8, 20, 10_000])
+def test_scores_whatever_is_broadcast(spark, monkeypatch, limit):
+    """Grams that are looked up where they are counted, and those that are sent, give the sums of a plain join."""
+    f, m = learned(spark, [*TEXTS, (5, "a", "red " * 40), (6, "b", "one " * 9)])
+    c = ft.token_counts(spark.createDataFrame([(1, "red red one nowhere"), (2, "nowhere"), (3, "two blue"), (4, "")], "doc_id long, text string"), "doc_id")
+    ref = measures.uniform_ref(F.col("gram"), F.lit(1))
+    plain = c.crossJoin(m.select("model", "log_z")).join(f.select("model", "gram", "lam"), ["model", "gram"], "left").withColumn("x", F.coalesce("lam", F.lit(0.0)) + ref - F.col("log_z"))
+    n = F.col("cnt")
+    plain = plain.groupBy("doc_id", "model").agg(F.sum(n * F.col("x")).alias("score"), F.sum(n).alias("n"), F.coalesce(F.sum(F.when(F.col("lam").isNotNull(), n)), F.lit(0)).alias("hits"), F.sum(n * F.log(n)).alias("c"))
+    want = {(r.doc_id, r.model): (round(r.score, 9), r.n, r.hits, round(math.log(r.n) - r.c / r.n, 9)) for r in plain.collect()}
+    monkeypatch.setattr(score.lookup, "LIMIT", limit)
+    got = {(r.doc_id, r.model): (round(r.score, 9), r.n_tokens, r.n_hits, round(r.shannon, 9)) for r in score.score(c, f, m).collect()}
+    assert got == want
+
+
+def test_scores_send_a_row_a_document(spark):
+    f, m = learned(spark)
+    c = ft.token_counts(spark.createDataFrame([(k, "red one") for k in range(9)], "doc_id long, text string"), "doc_id")
+    assert exchanges(score.score(c, f, m)) == 1  # by document alone, where counts and grams were dealt out, too
