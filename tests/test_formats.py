@@ -1,9 +1,12 @@
+import tracemalloc
+
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from wordloom.functions import headers, mail, markup
+from wordloom.functions import headers, mail, markup, slices
 from wordloom.sources import readers
 
 PAGE = '<html><title>T</title><script>if (x<y) {}</script>A&amp;B&lt;c<br>d<a href="http://x.com/a?b=c%20d" onclick="go()">l</a><!-- note --><img alt="pic"></html>'
@@ -114,3 +117,33 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["doc_id", "truth", "best", "score"]
     assert df.where(F.col("truth") == F.col("best")).count() > 0.9 * df.count()
+
+
+def test_texts_are_taken_in_slices():
+    texts = pa.array(["x" * 400, None, "", "y" * 700, "z" * 5000, "ab"])
+    parts = [p.to_pylist() for p in slices.slices(texts, 1000)]
+    assert sum(parts, []) == texts.to_pylist() and [len(p) for p in parts] == [3, 1, 1, 1]
+    assert list(slices.slices(texts.slice(0, 0))) == []
+
+
+def test_pages_take_little_memory_at_once(spark):
+    """A batch of 200 pages of 100 KB is not held as Python strings and their results at one time."""
+    texts = pa.array(["<p>" + "word " * 20_000] * 200)
+    run = markup.clean_udf().func
+    tracemalloc.start()
+    n = sum(len(x) for x in run(iter([texts])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 200 and peak < 10e6
+
+
+@pytest.mark.parametrize("size", ["10000", "2"])
+def test_slices_keep_rows_in_place(spark, size):
+    rows = [(k, "<b>" + f"{k} " * (50_000 if k % 3 == 0 else 3)) for k in range(30)] + [(30, None), (31, "")]
+    d = spark.createDataFrame(rows, "page_id long, html string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = {r.page_id: r.t for r in d.select("page_id", markup.clean_udf()("html").alias("t")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: markup.clean(t) for k, t in rows}
