@@ -257,3 +257,20 @@ def test_scores_send_a_row_a_document(spark):
     f, m = learned(spark)
     c = ft.token_counts(spark.createDataFrame([(k, "red one") for k in range(9)], "doc_id long, text string"), "doc_id")
     assert exchanges(score.score(c, f, m)) == 1  # by document alone, where counts and grams were dealt out, too
+
+
+@pytest.mark.parametrize("order, more", [(2, {}), (3, {"min_count": 1}), (2, {"class_limit": 0})])
+def test_passes_over_features_that_are_alike(spark, order, more):
+    """Quality 4 goes over one row for features that keep the same weight, and gives each what passes over all features give it."""
+    rows = [(k, "ab"[k % 2], " ".join(["red", "green", "blue", "one", "two"][(k * j) % 5] for j in range(1, 9)) + ".") for k in range(1, 20)]
+    d = spark.createDataFrame(rows, "doc_id long, model string, text string").select("model", "text")
+    c = fit.with_uniform(ft.counts(ft.gram_rows(d, order), "model"))
+    f, m = fit.fit(c, order, 4, **more)
+    every = c.withColumn("cls", F.lit(0))
+    g, n = fit._passes(every, order, more.get("min_count", 0), more.get("class_limit", fit.CLASS_LIMIT), None)
+    key = lambda x: sorted((r.model, r.ord, r.gram, r.cnt, r.dref, round(r.ltrms, 9), r.lam) for r in x.collect())
+    assert key(f) == key(g)
+    figures = lambda x: sorted((r.model, r.iterations, round(r.log_z, 9), round(r.divergence, 9), r.n_tokens, r.n_features) for r in x.collect())
+    assert figures(m) == figures(n)
+    alike = fit._alike(every.withColumn("lam0", F.lit(0.0)), order)
+    assert alike.count() < c.count() and alike.agg(F.sum("m")).first()[0] == c.count()
