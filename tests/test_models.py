@@ -274,3 +274,14 @@ def test_passes_over_features_that_are_alike(spark, order, more):
     assert figures(m) == figures(n)
     alike = fit._alike(every.withColumn("lam0", F.lit(0.0)), order)
     assert alike.count() < c.count() and alike.agg(F.sum("m")).first()[0] == c.count()
+
+
+@pytest.mark.parametrize("limit", [8, 10_000])
+def test_own_divergences_come_with_scores(spark, monkeypatch, limit):
+    """Of documents under their own model, without counting and looking them up once more."""
+    f, m = learned(spark, [*TEXTS, (5, "a", "red " * 40)])
+    d = spark.createDataFrame([(1, "a", "red red one nowhere"), (2, "b", "nowhere"), (3, "b", "two blue"), (4, "a", "")], "doc_id long, model string, text string")
+    monkeypatch.setattr(score.lookup, "LIMIT", limit)
+    want = {(r.doc_id, r.model): round(r.div, 9) for r in fit.document_divergences(ft.token_counts(d, "model", "doc_id"), f, m).collect()}
+    s = score.score(ft.token_counts(d, "doc_id"), f, m, own=True).join(d, ["doc_id", "model"])
+    assert {(r.doc_id, r.model): round(r.own_div, 9) for r in s.collect()} == want and len(want) == 3
